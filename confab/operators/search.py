@@ -47,22 +47,28 @@ def expanded_terms(queries: DataFrame, expansions: DataFrame) -> DataFrame:
 def search_many(segments: DataFrame, projects: DataFrame, terms: DataFrame, limit: int = 50) -> DataFrame:
     """Top segments per query.
 
-    A term holds no blank, so it occurs in a text exactly where it occurs in one of the text's
+    A term without blanks occurs in a text exactly where it occurs in one of the text's
     blank-separated words.  Terms meet the distinct words through an equi-join on substrings of
-    the terms' lengths; the matches then meet the segments on the word.  No pair of a text and a
-    term that do not match is ever built.
+    the terms' lengths; the matches then meet the segments on the word.  A phrase is found by its
+    first word and checked in the text.  No pair of a text and a term apart from these is built.
     """
-    lexicon = terms.select("term").distinct()
-    lengths = lexicon.agg(F.collect_set(F.length("term")).alias("lengths"))
+    lexicon = terms.select("term").distinct().withColumn("head", F.split("term", r"(?U)\s+")[0])
+    heads = lexicon.select(F.col("head").alias("gram")).distinct()
     word_of = segments.select("segment_id", F.explode(
         F.array_distinct(F.split(F.lower("text"), r"(?U)\s+"))).alias("word"))
-    vocabulary = word_of.select("word").distinct()
-    grams = vocabulary.join(F.broadcast(lengths)).select("word", F.explode(F.flatten(F.transform(
+    lengths = heads.agg(F.collect_set(F.length("gram"))).scalar()
+    sized = word_of.select("word").distinct().withColumn("lengths", lengths)
+    grams = sized.select("word", F.explode(F.array_distinct(F.flatten(F.transform(
         F.filter("lengths", lambda n: n <= F.length("word")),
         lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1),
-                              lambda i: F.substring(F.col("word"), i, n))))).alias("term")).distinct()
-    pairs = grams.join(lexicon, "term")
-    hits = word_of.join(pairs, "word").select("segment_id", "term").distinct()
+                              lambda i: F.substring(F.col("word"), i, n)))))).alias("gram"))
+    found = word_of.join(grams.join(heads, "gram"), "word").select(
+        "segment_id", F.col("gram").alias("head")).distinct().join(lexicon, "head")
+    whole = found.where(F.col("term") == F.col("head")).select("segment_id", "term")
+    phrases = found.where(F.col("term") != F.col("head")).join(
+        segments.select("segment_id", "text"), "segment_id").where(
+        F.lower("text").contains(F.col("term"))).select("segment_id", "term")
+    hits = whole.unionByName(phrases)
     scored = hits.join(terms, "term").groupBy("query_id", "segment_id").agg(
         F.count(F.lit(1)).alias("relevance"))
     order = segments.join(projects.select("project_id", "updated_at"), "project_id").select(

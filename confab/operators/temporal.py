@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from confab.operators.blocks import Scan, running, time_block
+from confab.session import cut
 
 BUCKET_MS = 30_000
 
@@ -88,7 +89,8 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     order = ["start_ms", "end_ms"]
     r = running(r, ["project_id"], time_block(), order, [Scan("reach", F.col("end_ms"), "max", inclusive=False)])
     opens = F.when(F.col("reach").isNull() | (F.col("start_ms") > F.col("reach")), 1).otherwise(0)
-    r = running(r.withColumn("opens", opens), ["project_id"], time_block(), order,
+    r = cut(r.select("project_id", *order, opens.alias("opens")), "ranges")  # read twice below
+    r = running(r, ["project_id"], time_block(), order,
                 [Scan("island", F.col("opens"), "sum")])
     return r.groupBy("project_id", "island").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("island")
@@ -96,6 +98,7 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
 
 def complement_ranges(merged: DataFrame, durations: DataFrame, shortest: int = 40) -> DataFrame:
     """What is left of each project's [0, duration) once the merged ranges are cut out."""
+    merged = cut(merged, "merged")
     held = running(merged, ["project_id"], time_block(), ["start_ms"],
                    [Scan("cursor", F.col("end_ms"), "last", inclusive=False)])
     before = held.select("project_id", F.coalesce("cursor", F.lit(0)).alias("s"), F.col("start_ms").alias("e"))

@@ -41,7 +41,7 @@ RANKED = """
               QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY n)<=16)""" + RANKED))
 def search_many(spark, sf):
     """Every benchmark text is a query against every segment."""
-    s = tables.segments(spark, sf)
+    s = tables.staged(spark, sf)
     return search.search_many(s, tables.projects(spark, sf, s), search.terms_of(benchmark_queries(spark, sf)))
 
 
@@ -57,7 +57,7 @@ def search_many(spark, sf):
     terms AS (SELECT query_id, term FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY a, term)<=16)""" + RANKED))
 def concept_search(spark, sf):
     """Synonyms come from a table: here the word that follows a word in the benchmark texts."""
-    s, q = tables.segments(spark, sf), benchmark_queries(spark, sf)
+    s, q = tables.staged(spark, sf), benchmark_queries(spark, sf)
     words = F.regexp_extract_all(F.lower("query"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     pairs = q.select(words.alias("l")).select(F.explode(F.arrays_zip(
         F.col("l").alias("term"), F.slice("l", F.lit(2), F.size("l")).alias("synonym"))).alias("z"))
@@ -87,7 +87,7 @@ def rank_context(spark, sf):
 @query("select_context")
 def select_context(spark, sf):
     """A small limit, so that choosing and trimming both happen."""
-    return search.select_context(questions(spark, sf), tables.segments(spark, sf), 1_500)
+    return search.select_context(questions(spark, sf), tables.staged(spark, sf), 1_500)
 
 
 @query("ground_citations", sql("segments", """

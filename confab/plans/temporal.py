@@ -85,7 +85,7 @@ CUTS = f"""WITH x AS (SELECT project_id, greatest(0,start_ms-150) AS start_ms, l
 
 def cuts(spark, sf):
     """Cut out what needs a text review, with 150 ms around it."""
-    s = tables.segments(spark, sf)
+    s = tables.staged(spark, sf)
     return s.where(review.needs_text_review()).select(
         "project_id", (F.col("start_ms") - 150).alias("start_ms"), (F.col("end_ms") + 150).alias("end_ms")), \
         tables.projects(spark, sf, s).select("project_id", "duration_ms")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from confab.functions.vectors import unit
 from confab.operators.blocks import Scan, running
+from confab.session import cut
 
 WORD_BLOCK = 4_096  # words of one turn per block, a multiple of the 8-word fragments
 
@@ -113,3 +114,8 @@ def voice_profiles(spark: SparkSession, sf_dir: str, samples: DataFrame | None =
         F.lit(0.64).cast("double").alias("match_threshold"),
         (F.col("profile_id") % 7 != 6).alias("enabled"),
     )
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments written once to the shared folder, for queries that read them several times."""
+    return cut(segments(spark, sf_dir), "segments")
