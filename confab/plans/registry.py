@@ -97,7 +97,7 @@ def sql(tables: str, body: str) -> str:
         add(name)
     items = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order]
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        items.append(body[5:])
-        return "WITH " + ",\n".join(items)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return head + ",\n".join([*items, body[len(head):]])
     return "WITH " + ",\n".join(items) + "\n" + body if items else body
