@@ -225,7 +225,7 @@ def insights_if_current(spark, sf):
       CASE WHEN score>=78 THEN 'alta' WHEN score>=48 THEN 'buena' ELSE 'aprendiendo' END AS reliability FROM j"""))
 def voice_catalog(spark, sf):
     v = tables.voice_samples(spark, sf)
-    c = cat.voice_catalog(tables.voice_profiles(spark, sf, v), v, tables.segments(spark, sf))
+    c = cat.voice_catalog(tables.voice_profiles(spark, sf), v, tables.segments(spark, sf))
     return c.withColumn("sample_confidence", F.round("sample_confidence", 6)).withColumn(
         "match_confidence", F.round("match_confidence", 6))
 

@@ -65,21 +65,26 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT project_id, turn AS marker_id,
                min(start_ms) + (project_id*131+turn*977)%5000 AS time_ms
         FROM segments GROUP BY project_id, turn"""),
-    "samples": ((), r"""
-        SELECT vec_id AS sample_id, CAST(label AS BIGINT) AS profile_id, vec_id%17 AS source_project,
-               vec_id AS source_segment, 1500*vec_id AS start_ms, 500+(97*vec_id)%9000 AS duration_ms,
-               CAST((55+(31*vec_id)%45)/100.0 AS DOUBLE) AS confidence, CAST(embedding AS DOUBLE[]) AS embedding
-        FROM embeddings"""),
+    "centroids": ((), r"""
+        SELECT profile_id, list(m / greatest(nn, 1e-8) ORDER BY d) AS centroid
+        FROM (SELECT *, sqrt(sum(m*m) OVER (PARTITION BY profile_id)) AS nn
+              FROM (SELECT profile_id, d, avg(embedding[d]) AS m
+                    FROM (SELECT CAST(label AS BIGINT) AS profile_id, CAST(embedding AS DOUBLE[]) AS embedding,
+                                 unnest(range(1,len(embedding)+1)) AS d FROM embeddings)
+                    GROUP BY profile_id, d)) GROUP BY profile_id"""),
+    "samples": (("centroids",), r"""
+        SELECT sample_id, profile_id, sample_id%17 AS source_project, sample_id AS source_segment, 1500*sample_id AS start_ms,
+               500+(97*sample_id)%9000 AS duration_ms, CAST((55+(31*sample_id)%45)/100.0 AS DOUBLE) AS confidence,
+               list_transform(x, lambda y: y/greatest(sqrt(list_inner_product(x,x)),1e-8)) AS embedding
+        FROM (SELECT vec_id AS sample_id, profile_id,
+                     list_transform(range(1,len(e)+1), lambda i: (vec_id%5)*c[i]+e[i]) AS x
+              FROM (SELECT vec_id, CAST(label AS BIGINT) AS profile_id, CAST(embedding AS DOUBLE[]) AS e, centroid AS c
+                    FROM embeddings JOIN centroids ON profile_id=label))"""),
     "profiles": (("samples",), r"""
-        SELECT p.*, 'Voz ' || p.profile_id AS name, CAST(0.64 AS DOUBLE) AS match_threshold,
-               p.profile_id%7<>6 AS enabled, n.sample_count, n.total_duration_ms
-        FROM (SELECT profile_id, list(m / greatest(nn, 1e-8) ORDER BY d) AS centroid
-              FROM (SELECT *, sqrt(sum(m*m) OVER (PARTITION BY profile_id)) AS nn
-                    FROM (SELECT profile_id, d, avg(embedding[d]) AS m
-                          FROM (SELECT profile_id, embedding, unnest(range(1,len(embedding)+1)) AS d FROM samples)
-                          GROUP BY profile_id, d)) GROUP BY profile_id) p
-        JOIN (SELECT profile_id, count(*) AS sample_count, CAST(sum(duration_ms) AS BIGINT) AS total_duration_ms
-              FROM samples GROUP BY profile_id) n USING (profile_id)"""),
+        SELECT profile_id, centroid, 'Voz ' || profile_id AS name, CAST(0.64 AS DOUBLE) AS match_threshold,
+               profile_id%7<>6 AS enabled, n.sample_count, n.total_duration_ms
+        FROM centroids JOIN (SELECT profile_id, count(*) AS sample_count, CAST(sum(duration_ms) AS BIGINT) AS total_duration_ms
+                             FROM samples GROUP BY profile_id) n USING (profile_id)"""),
 }
 
 

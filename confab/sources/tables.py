@@ -91,29 +91,33 @@ def markers(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) ->
     )
 
 
-def voice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("vec_id")
-    return read(spark, sf_dir, "embeddings").select(
-        v.alias("sample_id"), F.col("label").cast("long").alias("profile_id"),
-        (v % 17).alias("source_project"), v.alias("source_segment"), (1500 * v).alias("start_ms"),
-        (500 + (97 * v) % 9000).alias("duration_ms"),
-        ((55 + (31 * v) % 45) / F.lit(100.0)).alias("confidence"), "embedding",
-    )
+def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit mean vector per label of the given embeddings."""
+    vec = array_to_vector(F.col("embedding").cast("array<double>"))
+    return read(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("profile_id")).agg(
+        Summarizer.mean(vec).alias("m")).select("profile_id", unit(vector_to_array("m")).alias("centroid"))
 
 
-def voice_profiles(spark: SparkSession, sf_dir: str, samples: DataFrame | None = None) -> DataFrame:
-    """One row per label: unit mean of its vectors, threshold .64, every seventh profile paused."""
-    samples = voice_samples(spark, sf_dir) if samples is None else samples
-    vec = array_to_vector(F.col("embedding").cast("array<double>"))
-    return samples.groupBy("profile_id").agg(
-        Summarizer.mean(vec).alias("m"), F.count(F.lit(1)).alias("sample_count"),
-        F.sum("duration_ms").alias("total_duration_ms"),
-    ).select(
-        "profile_id", F.concat(F.lit("Voz "), F.col("profile_id")).alias("name"),
-        unit(vector_to_array("m")).alias("centroid"), "sample_count", "total_duration_ms",
-        F.lit(0.64).cast("double").alias("match_threshold"),
-        (F.col("profile_id") % 7 != 6).alias("enabled"),
-    )
+def voice_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voice samples around their label's centroid, from far off (vec_id % 5 = 0) to close."""
+    v = F.col("vec_id")
+    e = read(spark, sf_dir, "embeddings").withColumn("profile_id", F.col("label").cast("long"))
+    pull = (v % 5).cast("double")
+    near = F.zip_with("centroid", "embedding", lambda c, x: pull * c + x.cast("double"))
+    return e.join(label_centroids(spark, sf_dir), "profile_id").select(
+        v.alias("sample_id"), "profile_id", (v % 17).alias("source_project"), v.alias("source_segment"),
+        (1500 * v).alias("start_ms"), (500 + (97 * v) % 9000).alias("duration_ms"),
+        ((55 + (31 * v) % 45) / F.lit(100.0)).alias("confidence"), unit(near).alias("embedding"))
+
+
+def voice_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One profile per label, threshold .64; one in seven is paused."""
+    sizes = read(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("profile_id")).agg(
+        F.count(F.lit(1)).alias("sample_count"), F.sum(500 + (97 * F.col("vec_id")) % 9000).alias("total_duration_ms"))
+    return label_centroids(spark, sf_dir).join(sizes, "profile_id").select(
+        "profile_id", F.concat(F.lit("Voz "), F.col("profile_id")).alias("name"), "centroid", "sample_count",
+        "total_duration_ms", F.lit(0.64).cast("double").alias("match_threshold"),
+        (F.col("profile_id") % 7 != 6).alias("enabled"))
 
 
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
