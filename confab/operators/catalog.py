@@ -240,7 +240,7 @@ def speaker_options(segments: DataFrame, profiles: DataFrame) -> DataFrame:
         "project_id", F.explode(F.array(F.lit("Hablante 1"), F.lit("Hablante 2"))).alias("name"))
     generic = seen.unionByName(defaults).distinct().select(
         "project_id", F.concat(F.lit("speaker:"), "name").alias("value"), "name", F.col("name").alias("label"))
-    number = F.try_to_number(F.regexp_extract("name", r"(\d+)$", 1), F.lit("999999999999")).cast("long")
+    number = F.regexp_extract("name", r"(\d+)$", 1).try_cast("long")
     return known.unionByName(generic).withColumn("sort_name", F.regexp_replace("name", r"\d+$", "")).withColumn(
         "sort_number", number)
 
