@@ -78,7 +78,8 @@ def greedy_groups(rows: DataFrame, keys: list[str], block: Column, ahead: Column
                 firsts.append(rn[lo])
                 lasts.append(rn[lo + own - 1])
                 maps.append(exits[: int((head[lo:hi] & mine[lo:hi]).sum()) + 1])
-            yield g.iloc[at][unit].assign(first_rn=firsts, last_rn=lasts, exits=maps)
+            if at:
+                yield g.iloc[at][unit].assign(first_rn=firsts, last_rn=lasts, exits=maps)
 
     maps = both.repartition(*unit).sortWithinPartitions(*unit, "rn").mapInPandas(block_maps, map_schema)
     entry_schema = T.StructType([*key_types, T.StructField("block", T.LongType()),
