@@ -18,7 +18,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from confab.operators.blocks import Scan, running
 from confab.session import cut
 
 # next_break(arrays, i, n): index of the first row that cannot join the group begun at row i
@@ -46,7 +45,7 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
 
 def greedy_groups(rows: DataFrame, keys: list[str], block: Column, ahead: Column, features: list[str],
                   next_break: NextBreak) -> DataFrame:
-    """Add ``group`` (the ``rn`` of the group's first row) to rows numbered by ``rn`` per key.
+    """Add ``group`` (the ``rn`` of its first row) and ``ordinal`` (1, 2, ...) to rows numbered by ``rn`` per key.
 
     ``ahead`` is true for the rows at the head of a block that a group begun in the block before
     may still reach; any row after them is certain to break such a group.
@@ -59,62 +58,66 @@ def greedy_groups(rows: DataFrame, keys: list[str], block: Column, ahead: Column
     both = slim.withColumn("own", F.lit(True)).unionByName(look)
     map_schema = T.StructType([*key_types, T.StructField("block", T.LongType()),
                                T.StructField("first_rn", T.LongType()), T.StructField("last_rn", T.LongType()),
-                               T.StructField("exits", T.ArrayType(T.LongType()))])
+                               *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("exits", "opened", "counts")]])
 
     def block_maps(batches):
         for g, edges in whole_groups(batches, unit):
             arrays = {f: g[f].to_numpy() for f in features}
             rn, mine, head = g["rn"].to_numpy(), g["own"].to_numpy(), g["ahead"].to_numpy()
-            at, firsts, lasts, maps = [], [], [], []
+            at, firsts, lasts, maps = [], [], [], ([], [], [])
             for lo, hi in zip(edges[:-1], edges[1:]):
                 own = int(mine[lo:hi].sum())
                 if own == 0:
                     continue
-                exits = [0] * own
+                exits, opened, counts = [0] * own, [0] * own, [1] * own
                 for i in range(own - 1, -1, -1):
                     j = next_break(arrays, lo + i, hi)
-                    exits[i] = exits[j - lo] if j < lo + own else int(rn[j]) if j < hi else int(rn[hi - 1]) + 1
+                    if j < lo + own:
+                        exits[i], opened[i], counts[i] = exits[j - lo], opened[j - lo], counts[j - lo] + 1
+                    else:
+                        exits[i], opened[i] = int(rn[j]) if j < hi else int(rn[hi - 1]) + 1, int(rn[lo + i])
                 at.append(lo)
                 firsts.append(rn[lo])
                 lasts.append(rn[lo + own - 1])
-                maps.append(exits[: int((head[lo:hi] & mine[lo:hi]).sum()) + 1])
+                entries = int((head[lo:hi] & mine[lo:hi]).sum()) + 1
+                for column, values in zip(maps, (exits, opened, counts)):
+                    column.append(values[:entries])
             if at:
-                yield g.iloc[at][unit].assign(first_rn=firsts, last_rn=lasts, exits=maps)
+                yield g.iloc[at][unit].assign(first_rn=firsts, last_rn=lasts, exits=maps[0], opened=maps[1], counts=maps[2])
 
     maps = both.repartition(*unit).sortWithinPartitions(*unit, "rn").mapInPandas(block_maps, map_schema)
-    entry_schema = T.StructType([*key_types, T.StructField("block", T.LongType()),
-                                 T.StructField("entry", T.LongType())])
+    entry_fields = [T.StructField(c, T.LongType()) for c in ("entry", "open_group", "before")]
+    entry_schema = T.StructType([*key_types, T.StructField("block", T.LongType()), *entry_fields])
 
     def walk(batches):
-        here, entry = None, 1
+        here, entry, group, before = None, 1, 0, 0
         for pdf in batches:
             out = []
-            for key, first, last, exits in zip(zip(*[pdf[k] for k in keys]), pdf["first_rn"], pdf["last_rn"],
-                                               pdf["exits"]):
+            for key, first, last, exits, opened, counts in zip(
+                    zip(*[pdf[k] for k in keys]), pdf["first_rn"], pdf["last_rn"], pdf["exits"], pdf["opened"], pdf["counts"]):
                 if key != here:
-                    here, entry = key, first
-                out.append(entry)
+                    here, entry, group, before = key, first, first, 0
+                out.append((entry, group, before))
                 if entry <= last:
-                    entry = exits[entry - first]
-            yield pd.DataFrame({**{k: pdf[k] for k in unit}, "entry": out})
+                    i = entry - first
+                    entry, group, before = exits[i], opened[i], before + counts[i]
+            yield pd.concat([pdf[unit], pd.DataFrame(out, columns=["entry", "open_group", "before"], index=pdf.index)], axis=1)
 
     entries = maps.repartition(*keys).sortWithinPartitions(*unit).mapInPandas(walk, entry_schema)
-    marked_schema = T.StructType([*rows.schema.fields, T.StructField("starts", T.BooleanType())])
+    kept = [f for f in rows.schema.fields if f.name not in ("block", "ahead")]
+    marked_schema = T.StructType([*kept, T.StructField("group", T.LongType()), T.StructField("ordinal", T.LongType())])
 
     def mark(batches):
         for g, edges in whole_groups(batches, unit):
             arrays = {f: g[f].to_numpy() for f in features}
-            starts = np.zeros(len(g), dtype=bool)
-            skip = (g["entry"] - g["rn"]).to_numpy()
+            rn, entry = g["rn"].to_numpy(), g["entry"].to_numpy()
+            group, ordinal = g["open_group"].to_numpy().copy(), g["before"].to_numpy().copy()
             for lo, hi in zip(edges[:-1], edges[1:]):
-                i = lo + int(skip[lo])
+                i, n = lo + int(entry[lo] - rn[lo]), ordinal[lo]
                 while i < hi:
-                    starts[i] = True
-                    i = next_break(arrays, i, hi)
-            yield g.drop(columns="entry").assign(starts=starts)
-
-    marked = rows.join(entries, unit).repartition(*unit).sortWithinPartitions(*unit, "rn").mapInPandas(
-        mark, marked_schema)
-    grouped = running(marked, keys, F.col("block"), ["rn"],
-                      [Scan("group", F.when(F.col("starts"), F.col("rn")), "last")])
-    return grouped.drop("starts", "block", "ahead")
+                    j, n = next_break(arrays, i, hi), n + 1
+                    group[i:j], ordinal[i:j] = rn[i], n
+                    i = j
+            yield g[[f.name for f in kept]].assign(group=group, ordinal=ordinal)
+
+    return rows.join(entries, unit).repartition(*unit).sortWithinPartitions(*unit, "rn").mapInPandas(mark, marked_schema)

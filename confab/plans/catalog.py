@@ -16,8 +16,9 @@ from confab.sources import media, tables
     JOIN (SELECT project_id, count(*) AS n, arg_min(word, start_ms) AS first_word, arg_max(word, start_ms) AS last_word
           FROM words GROUP BY 1) w USING (project_id)"""))
 def nest_projects(spark, sf):
-    s = tables.staged(spark, sf)
-    n = cat.nest_projects(tables.projects(spark, sf, s), s, tables.words(spark, sf))
+    w = tables.staged_words(spark, sf)
+    s = tables.staged(spark, sf, w)
+    n = cat.nest_projects(tables.projects(spark, sf, s), s, w)
     last = lambda c: F.element_at(c, -1)
     return n.select(
         "project_id", "name", "part", F.size("segments").cast("long").alias("segments"),
@@ -29,10 +30,11 @@ def nest_projects(spark, sf):
 
 def nested(spark, sf):
     """Nested projects with an unknown review state and a missing order here and there."""
-    s = tables.staged(spark, sf)
+    w = tables.staged_words(spark, sf)
+    s = tables.staged(spark, sf, w)
     i = F.col("segment_id")
     s = s.withColumn("review_state", F.when(i % 11 == 3, "maybe").otherwise(F.col("review_state")))
-    return cat.nest_projects(tables.projects(spark, sf, s), s, tables.words(spark, sf))
+    return cat.nest_projects(tables.projects(spark, sf, s), s, w)
 
 
 @query("flatten_segments", sql("segments", """

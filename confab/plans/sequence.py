@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from confab.functions import review
 from confab.operators import sequence as seq
 from confab.plans.registry import CTES, query, sql
+from confab.session import cut
 from confab.sources import tables
 
 NUMBERED = """SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_ms, segment_order) AS rn FROM segments"""
@@ -80,7 +81,8 @@ def pack_chunks(spark, sf):
   UNION ALL SELECT s.project_id, s.segment_id, CAST(s.segment_id AS VARCHAR), s.start_ms, s.end_ms, count(*)
   FROM segments s JOIN words USING (segment_id) WHERE s.end_ms-s.start_ms<=3400 GROUP BY ALL"""))
 def speaker_units(spark, sf):
-    return seq.speaker_units(tables.staged(spark, sf), tables.words(spark, sf))
+    w = tables.staged_words(spark, sf)
+    return seq.speaker_units(tables.staged(spark, sf, w), w)
 
 
 @query("subtitle_cues")
@@ -122,8 +124,6 @@ def fill_labels(spark, sf):
     FROM rec r JOIN a ON a.project_id=r.project_id AND a.rn=r.rn+1)
   SELECT project_id, unit_id, start_ms, label, confidence FROM rec"""))
 def smooth_labels(spark, sf):
-    from confab.session import cut
-
     return seq.smooth_labels(cut(seq.fill_labels(labelled(spark, sf)), "filled"))
 
 

@@ -49,9 +49,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str, w: DataFrame | None = None) -> DataFrame:
     """Eight-word fragments; the grouping keeps the word blocks' partitioning."""
-    g = words(spark, sf_dir).groupBy("project_id", "segment_id", "turn", "speaker").agg(
+    g = (words(spark, sf_dir) if w is None else w).groupBy("project_id", "segment_id", "turn", "speaker").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))),
                                  lambda x: x["word"]), " ").alias("text"),
@@ -120,6 +120,10 @@ def voice_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("profile_id") % 7 != 6).alias("enabled"))
 
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, w: DataFrame | None = None) -> DataFrame:
     """The segments written once to the shared folder, for queries that read them several times."""
-    return cut(segments(spark, sf_dir), "segments")
+    return cut(segments(spark, sf_dir, w), "segments")
+
+
+def staged_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(words(spark, sf_dir), "words")
