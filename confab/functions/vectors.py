@@ -22,7 +22,9 @@ def norm(a: Column | str) -> Column:
 def unit(a: Column | str) -> Column:
     """L2-normalised copy; the length is floored at 1e-8."""
     a = F.col(a) if isinstance(a, str) else a
-    return F.transform(a, lambda x: x.cast("double") / F.greatest(norm(a), F.lit(1e-8)))
+    # the one-element array makes the length a value that is computed once, not per component
+    length = F.array(F.greatest(norm(a), F.lit(1e-8)))
+    return F.transform(length, lambda n: F.transform(a, lambda x: x.cast("double") / n))[0]
 
 
 def clip(c: Column, low: float, high: float) -> Column:

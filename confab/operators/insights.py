@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from confab.functions import text as tx
+from confab.operators.blocks import Scan, running
 from confab.session import cut
 
 KEY_POINTS = 8
@@ -199,14 +200,33 @@ def extractive_summary(segments: DataFrame, picks: DataFrame) -> DataFrame:
 def audio_quality(frames: DataFrame, exact: bool = True) -> DataFrame:
     """Noise floor, speech level, clipping and silence per recording from frame measurements.
 
-    ``frames``: recording_id, rms, clipped (samples at full scale), n (samples).  Exact
-    percentiles build a value-count map per recording; ``exact=False`` uses the sketch.
+    ``frames``: recording_id, rms (0..1), clipped (samples at full scale), n (samples).  Exact
+    percentiles are read off running counts over the distinct values, cut into blocks of the value
+    range, so that no recording's values meet in one task; ``exact=False`` uses a sketch.
     """
-    pct = (lambda p: F.percentile("rms", F.lit(p))) if exact else (lambda p: F.percentile_approx("rms", p, 10_000))
-    levels = frames.groupBy("recording_id").agg(
-        pct(0.18).alias("noise"), pct(0.82).alias("speech"), F.sum("clipped").alias("clipped"), F.sum("n").alias("n"))
-    quiet = frames.join(levels.select("recording_id", "noise"), "recording_id").groupBy("recording_id").agg(
-        F.avg((F.col("rms") < F.greatest(F.lit(0.0025), F.col("noise") * 1.25)).cast("double")).alias("silent"))
+    key = ["recording_id"]
+    sums = frames.groupBy(*key).agg(F.sum("clipped").alias("clipped"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("frames"))
+    values = frames.groupBy(*key, "rms").agg(F.count(F.lit(1)).alias("c"))
+    if exact:
+        values = cut(values, "levels")
+        ranked = running(values, key, F.floor(F.col("rms") * 4_096), ["rms"], [Scan("upto", F.col("c"), "sum")])
+        at = lambda p: p * (F.col("frames") - 1)
+        reach = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("rms")))
+        picks = ranked.join(sums, key).groupBy(*key, "frames").agg(*[
+            reach(f(at(p))).alias(f"{side}{name}") for name, p in (("noise", 0.18), ("speech", 0.82))
+            for side, f in (("lo_", F.floor), ("hi_", F.ceil))])
+
+        def level(name: str, p: float) -> Column:
+            share = at(p) - F.floor(at(p))
+            return (F.col(f"lo_{name}") + (F.col(f"hi_{name}") - F.col(f"lo_{name}")) * share).alias(name)
+
+        levels = picks.select(*key, level("noise", 0.18), level("speech", 0.82)).join(sums, key)
+    else:
+        levels = frames.groupBy(*key).agg(F.percentile_approx("rms", 0.18, 10_000).alias("noise"),
+                                          F.percentile_approx("rms", 0.82, 10_000).alias("speech")).join(sums, key)
+    below = F.col("rms") < F.greatest(F.lit(0.0025), F.col("noise") * 1.25)
+    quiet = values.join(levels.select(*key, "noise"), key).groupBy(*key).agg(
+        (F.sum(F.when(below, F.col("c")).otherwise(0)) / F.sum("c")).alias("silent"))
     db = lambda c: 20 * F.log10(F.greatest(c, F.lit(1e-6)))
     apart = db(F.col("speech")) - db(F.col("noise"))
     return levels.join(quiet, "recording_id").select(
