@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import langid
+from confab.llm import jaccard, langid
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    """Components of documents whose shingle sets are similar."""
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 @query("op9_language_id")
 def op9_language_id(spark, sf_dir):
     """Language of every document by family and pairwise machines."""
