@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import jaccard, langid
+from confab.llm import decontam, jaccard, langid
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -38,3 +38,9 @@ def op6_jaccard_join(spark, sf_dir):
 def op9_language_id(spark, sf_dir):
     """Language of every document by family and pairwise machines."""
     return langid.identify(read(spark, sf_dir, "documents"))
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark, sf_dir):
+    """Benchmark words found in every document through an FM-index."""
+    return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
