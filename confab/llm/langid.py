@@ -80,10 +80,16 @@ def _stacks(arr):
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """At most ``per_language`` labelled texts of each language, chosen by a hash of id and text."""
+    """At most ``per_language`` labelled texts of each language, chosen by a hash of id and text.
+
+    A first pass over the labels alone counts each language; only rows below the hash value that lets about four times the
+    wanted number through reach the ranking, so what is shuffled does not grow with the input.
+    """
+    counts = docs.where(F.col("lang") != "").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.where(F.col("lang") != "").select("lang", "text", F.xxhash64("doc_id", "text").alias("pick"))
+    chance = F.pmod("pick", F.lit(1 << 20)) * F.col("n") < 4 * per_language * (1 << 20)
+    rows = rows.join(F.broadcast(counts), "lang").where(chance & F.col("text").rlike(r"\p{L}"))  # one row per language
     pick = Window.partitionBy("lang").orderBy("pick", "text")
-    rows = docs.where(F.col("text").rlike(r"\p{L}") & (F.col("lang") != "")).select(
-        "lang", "text", F.xxhash64("doc_id", "text").alias("pick"))
     return rows.withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= per_language).select("lang", "text")
 
 
