@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import decontam, jaccard, langid
+from confab.llm import decontam, jaccard, langid, mixing, sharding
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -28,6 +28,18 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op2_sharding")
+def op2_sharding(spark, sf_dir):
+    """All documents in 24 shards of near equal bytes."""
+    return sharding.report(read(spark, sf_dir, "documents"))
+
+
+@query("op4_mixing", mixing.ORACLE)
+def op4_mixing(spark, sf_dir):
+    """All documents mixed to the target weights of their sources."""
+    return mixing.plan(read(spark, sf_dir, "documents"))
+
+
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, sf_dir):
     """Components of documents whose shingle sets are similar."""
