@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import decontam, jaccard, langid, mixing, sharding
+from confab.llm import ann, chat, decontam, jaccard, langid, mixing, sharding
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -28,6 +28,12 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_stable_projections")
+def op1_stable_projections(spark, sf_dir):
+    """Ten nearest others of every hundredth vector."""
+    return ann.neighbours(read(spark, sf_dir, "embeddings"))
+
+
 @query("op2_sharding")
 def op2_sharding(spark, sf_dir):
     """All documents in 24 shards of near equal bytes."""
@@ -40,6 +46,12 @@ def op4_mixing(spark, sf_dir):
     return mixing.plan(read(spark, sf_dir, "documents"))
 
 
+@query("op5_chat_format", chat.ORACLE)
+def op5_chat_format(spark, sf_dir):
+    """Conversations expanded into one example per reply, and read back."""
+    return chat.read_back(chat.examples(chat.given(read(spark, sf_dir, "conversations"))))
+
+
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, sf_dir):
     """Components of documents whose shingle sets are similar."""
