@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import ann, chat, decontam, jaccard, langid, mixing, sharding
+from confab.llm import ann, chat, decontam, jaccard, langid, mixing, quality, sharding
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -58,6 +58,12 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    """Quality score of every document by a quadratic discriminant."""
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op9_language_id")
 def op9_language_id(spark, sf_dir):
     """Language of every document by family and pairwise machines."""

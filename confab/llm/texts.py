@@ -10,7 +10,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 from confab import session
 
 BATCH_ROWS = 512  # rows per Arrow batch: long texts must not meet in batches of ten thousand
-SLICE_BYTES = 4 << 20  # bytes of text that one vectorised step looks at
+SLICE_BYTES = 2 << 20  # bytes of text that one vectorised step looks at
 
 
 def configure(spark: SparkSession) -> SparkSession:
