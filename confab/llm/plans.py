@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import ann, chat, decontam, jaccard, langid, mixing, quality, sharding
+from confab.llm import ann, chat, decontam, jaccard, langid, line_dedup, mixing, quality, sharding
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -40,6 +40,12 @@ def op2_sharding(spark, sf_dir):
     return sharding.report(read(spark, sf_dir, "documents"))
 
 
+@query("op3_line_dedup", line_dedup.ORACLE)
+def op3_line_dedup(spark, sf_dir):
+    """Documents without chunks of lines that occur earlier."""
+    return line_dedup.report(read(spark, sf_dir, "documents"))
+
+
 @query("op4_mixing", mixing.ORACLE)
 def op4_mixing(spark, sf_dir):
     """All documents mixed to the target weights of their sources."""
