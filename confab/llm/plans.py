@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import ann, chat, decontam, jaccard, langid, line_dedup, mixing, quality, sharding
+from confab.llm import ann, chat, decontam, jaccard, langid, line_dedup, mixing, quality, sharding, surrogates
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -64,6 +64,12 @@ def op6_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+@query("op7_surrogates")
+def op7_surrogates(spark, sf_dir):
+    """All documents with personal data replaced by keyed surrogates."""
+    return surrogates.report(read(spark, sf_dir, "documents"))
+
+
 @query("op8_quality")
 def op8_quality(spark, sf_dir):
     """Quality score of every document by a quadratic discriminant."""
