@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from confab.functions import text as tx
 from confab.operators.blocks import BLOCK_MS, numbered, time_block
+from confab.session import cut
 
 PART_SIZE = 4_096
+# Review states of a segment.
 REVIEW_STATES = ("pending", "accepted", "corrected", "ignored")
 
 
@@ -20,7 +22,7 @@ def nest_projects(projects: DataFrame, segments: DataFrame, words: DataFrame, pa
     utterance's words are nested per ten minutes, so that no array grows with the key.
     """
     key = ["project_id", "segment_id"]
-    starts = segments.select(*key, F.col("start_ms").alias("s0"))
+    starts = words.groupBy(*key).agg(F.min("start_ms").alias("s0"))  # so that every segment has a word part 0
     w = words.join(starts, key).withColumn("word_part", F.floor((F.col("start_ms") - F.col("s0")) / BLOCK_MS))
     w = w.groupBy(*key, "word_part").agg(F.array_sort(F.collect_list(
         F.struct("start_ms", "pos", "end_ms", F.col("word").alias("text"), "probability"))).alias("words"))
@@ -33,15 +35,19 @@ def nest_projects(projects: DataFrame, segments: DataFrame, words: DataFrame, pa
 
 
 def flatten_projects(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(segments, words) of nested projects; unknown review states become NULL, a missing order the index."""
+    """(segments, words) of nested projects; unknown review states become NULL, a missing order the segment's place in the project.
+
+    A segment whose words fill several rows is emitted once, from the first of them.
+    """
     s = nested.select("project_id", F.posexplode("segments").alias("i", "s"))
     known = lambda c: F.when(F.col(c).isin(*REVIEW_STATES), F.col(c))
     fields = nested.schema["segments"].dataType.elementType.names
     plain = [f for f in fields if f not in ("words", "segment_order", "review_state", "speaker_review_state", "rn",
                                             "word_part")]
-    segments = s.select(
-        "project_id", *[F.col(f"s.{f}").alias(f) for f in plain],
-        F.coalesce("s.segment_order", F.col("i").cast("long")).alias("segment_order"),
+    place = (F.col("s.rn") - 1 if "rn" in fields else F.col("i")).cast("long")
+    once = s.where(F.col("s.word_part") == 0) if "word_part" in fields else s
+    segments = once.select(
+        "project_id", *[F.col(f"s.{f}").alias(f) for f in plain], F.coalesce("s.segment_order", place).alias("segment_order"),
         known("s.review_state").alias("review_state"), known("s.speaker_review_state").alias("speaker_review_state"))
     w = s.select("project_id", F.col("s.segment_id").alias("segment_id"), F.explode("s.words").alias("w"))
     words = w.select("project_id", "segment_id", "w.start_ms", "w.end_ms", "w.text", "w.probability")
@@ -55,8 +61,15 @@ def replace_project_segments(existing: DataFrame, incoming: DataFrame) -> DataFr
 
 
 def write_by_bucket(df: DataFrame, path: str, buckets: int) -> None:
-    """Overwrite only the hash buckets of the projects present in ``df`` (bucket column included)."""
-    bucketed = df.withColumn("bucket", F.pmod(F.hash("project_id"), F.lit(buckets)))
+    """Replace the projects of ``df`` in a table of hash buckets; other projects of the touched buckets are written back unchanged."""
+    spark = df.sparkSession
+    bucketed = cut(df.withColumn("bucket", F.pmod(F.hash("project_id"), F.lit(buckets))), "incoming")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        touched = [r["bucket"] for r in bucketed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        there = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        kept = there.join(bucketed.select("project_id").distinct(), "project_id", "left_anti")
+        bucketed = cut(bucketed.unionByName(kept.select(bucketed.columns)), "rewritten")
     bucketed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

@@ -30,8 +30,12 @@ def overlaps(left: DataFrame, right: DataFrame, bucket_ms: int = BUCKET_MS) -> D
 
 
 def transfer_speakers(segments: DataFrame, units: DataFrame) -> DataFrame:
-    """Copy the speaker evidence of the best-overlapping group of units; text stays as it is."""
+    """Copy the speaker evidence of the best-overlapping group of units; text stays as it is.
+
+    The earlier unit wins ties, then the smaller id (ids of any type).
+    """
     voice = ["speaker", "speaker_confidence", "speaker_profile_id", "speaker_match_confidence", "cluster"]
+    voice += [c for c in ("speaker_provisional", "speaker_cluster_index") if c in units.columns]
     left = segments.select("project_id", "segment_id", F.col("start_ms").alias("l_start"),
                            F.col("end_ms").alias("l_end"))
     right = units.select("project_id", "unit_id", F.col("start_ms").alias("r_start"),
@@ -40,13 +44,13 @@ def transfer_speakers(segments: DataFrame, units: DataFrame) -> DataFrame:
     new = [f"new_{v}" for v in voice]
     group = ["project_id", "segment_id", "new_speaker", "new_speaker_profile_id", "new_cluster"]
     weight = F.col("overlap") * F.coalesce("new_speaker_confidence", F.lit(0.0))
-    first = F.struct(-F.col("r_start"), -F.col("unit_id"))  # earlier unit wins ties
+    first = F.struct("r_start", "unit_id")
     votes = pairs.groupBy(*group).agg(
         F.sum("overlap").alias("total"), F.round(F.sum(weight), 6).alias("weight"),
-        F.max(first).alias("first"),
-        F.max_by(F.struct(*new), F.struct(F.col("overlap"), first)).alias("unit"))
+        F.min(first).alias("first"),
+        F.min_by(F.struct(*new), F.struct((-F.col("overlap")).alias("o"), first.alias("f"))).alias("unit"))
     best = votes.groupBy("project_id", "segment_id").agg(
-        F.max_by("unit", F.struct("total", "weight", "first")).alias("unit"))
+        F.min_by("unit", F.struct((-F.col("total")).alias("t"), (-F.col("weight")).alias("w"), "first")).alias("unit"))
     joined = segments.join(best, ["project_id", "segment_id"], "left")
     hit = F.col("unit").isNotNull()
     changed = F.lit(False)

@@ -1,17 +1,14 @@
 """Registered queries, each beside the SQL that checks it."""
 
+from importlib import import_module
+
 from confab.plans import registry
 
+MODULES = ("text", "privacy", "search", "temporal", "insights", "sequence", "catalog", "voice", "grounding", "export", "streams")
+
 
 def load():
     """Import every plan module and return (queries, check SQL)."""
-    from importlib import import_module
-
-    for name in ("text", "privacy", "search", "temporal", "insights", "sequence", "catalog", "voice",
-                 "grounding", "export", "streams"):
-        try:
-            import_module(f"confab.plans.{name}")
-        except ModuleNotFoundError as e:
-            if e.name != f"confab.plans.{name}":
-                raise
+    for name in MODULES:
+        import_module(f"confab.plans.{name}")
     return dict(registry.QUERIES), dict(registry.ORACLES)

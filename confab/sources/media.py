@@ -31,7 +31,8 @@ def relocate_missing_media(projects: DataFrame, inventory: DataFrame, limit: int
     """Up to ``limit`` files of the same case-folded name for every project whose file is gone."""
     gone = projects.select("project_id", "media_path").join(
         inventory.select(F.col("path").alias("media_path")), "media_path", "left_anti")
-    same = inventory.select(F.lower(_base(F.col("path"))).alias("base"), F.col("path").alias("candidate"))
-    order = W.partitionBy("project_id").orderBy("candidate")
+    best = F.row_number().over(W.partitionBy("base").orderBy("candidate"))  # the order depends on the path alone: limit first, then join
+    same = inventory.select(F.lower(_base(F.col("path"))).alias("base"), F.col("path").alias("candidate")).withColumn(
+        "rank", best).where(F.col("rank") <= limit)
     return gone.withColumn("base", F.lower(_base(F.col("media_path")))).where(F.col("base") != "").join(
-        same, "base").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("base")
+        same, "base").drop("base")

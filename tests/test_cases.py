@@ -1,6 +1,9 @@
 """Hand-made inputs with exact expectations, one small case per behaviour."""
 
+import json
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from confab.functions import privacy, review, text
@@ -113,12 +116,60 @@ def test_srt_and_csv(spark):
     assert export.render_transcripts(s, "csv").first().text.endswith('-1,0,Ana,"Hola, ""mundo"""\r\n')
 
 
-def test_long_exports_are_cut_into_parts(spark, monkeypatch):
-    monkeypatch.setattr(export, "PART_SIZE", 3)
+@pytest.mark.parametrize("fmt", export.FORMATS)
+def test_parts_of_a_long_export_join_to_the_whole(spark, monkeypatch, fmt):
     s = segs(spark, [(i * 1000, i * 1000 + 900, f"t{i}") for i in range(7)])
-    parts = export.render_transcripts(s, "txt").orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2]
-    assert "\n\n".join(p.text for p in parts) == "\n\n".join(f"t{i}" for i in range(7))
+    whole = export.render_transcripts(s, fmt).collect()
+    monkeypatch.setattr(export, "PART_SIZE", 3)
+    parts = export.render_transcripts(s, fmt).orderBy("part").collect()
+    assert len(whole) == 1 and [p.part for p in parts] == [0, 1, 2]
+    assert "".join(p.text for p in parts) == whole[0].text
+    if fmt == "json":
+        assert len(json.loads(whole[0].text)["project"]["segments"]) == 7
+    if fmt == "txt":
+        assert whole[0].text == "\n\n".join(f"t{i}" for i in range(7))
+
+
+def test_nesting_and_flattening_long_recordings(spark):
+    """A segment of 25 minutes fills three word rows, five segments three parts; both come back whole."""
+    from confab.operators import catalog
+
+    s = segs(spark, [(0, 1_500_000, "long")] + [(1_500_000 + i * 1000, 1_500_900 + i * 1000, f"t{i}") for i in range(4)])
+    s = s.withColumn("segment_order", F.lit(None).cast("long"))
+    w = spark.createDataFrame([(1, 0, i, f"w{i}", i * 60_000 + 650_000 * (i > 4), i * 60_000 + 650_100, .9) for i in range(14)],
+                              "project_id long, segment_id long, pos long, word string, start_ms long, end_ms long, probability double")
+    p = spark.createDataFrame([(1, "one")], "project_id long, name string")
+    nested = catalog.nest_projects(p, s, w, part_size=2)
+    assert nested.count() == 3
+    back, words = catalog.flatten_projects(nested)
+    assert sorted(r.segment_order for r in back.collect()) == [0, 1, 2, 3, 4] and words.count() == 14
+
+
+def test_bucket_writer_keeps_other_projects(spark, tmp_path):
+    from confab.operators import catalog
+
+    rows = lambda ids, t: spark.createDataFrame([(i, t) for i in ids], "project_id long, text string")
+    path = str(tmp_path / "table")
+    catalog.write_by_bucket(rows(range(20), "old"), path, 2)
+    catalog.write_by_bucket(rows([3, 30], "new"), path, 2)
+    got = {r.project_id: r.text for r in spark.read.parquet(path).collect()}
+    assert got == {**{i: "old" for i in range(20)}, 3: "new", 30: "new"}
+
+
+def test_bundles_of_projects_with_equal_file_names(spark):
+    projects = spark.createDataFrame([(1, "a/x.wav"), (2, "b/x.wav"), (3, "c/x.wav")], "project_id long, media_path string")
+    media = spark.createDataFrame([("a/x.wav", "h1"), ("b/x.wav", "h2")], "path string, sha256 string")
+    got = sorted((r.project_id, r.media_included, r.media_name, r.media_sha256) for r in export.bundle_manifest(projects, media).collect())
+    assert got == [(1, True, "x.wav", "h1"), (2, True, "x.wav", "h2"), (3, False, None, None)]
+
+
+def test_speakers_from_units_with_text_ids(spark):
+    s = segs(spark, [(0, 4000, "edited")])
+    u = spark.createDataFrame([(1, "1-voice-0", 0, 2000, "Ana", .9, 1, .8, 0, True), (1, "1-voice-1", 2000, 4000, "Luis", .9, 2, .8, 1, False)],
+                              "project_id long, unit_id string, start_ms long, end_ms long, speaker string, speaker_confidence double, speaker_profile_id long, "
+                              "speaker_match_confidence double, cluster long, speaker_provisional boolean")
+    r = temporal.transfer_speakers(s, u).first()
+    assert (r.speaker, r.text, r.speaker_provisional) == ("Ana", "edited", True)
 
 
 def test_ranges(spark):
