@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from confab.llm.texts import fresh
+from confab.llm.texts import fresh, let
 from confab.session import cut
 
 LINES = 2
@@ -28,31 +28,33 @@ def _values(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
 
 
+def _neighbours(x: Column, kind: str) -> Column:
+    """(before, after) of every element."""
+    none = F.array(F.lit(None).cast(kind))
+    return F.zip_with(F.concat(none, F.slice(x, 1, F.size(x) - 1)), F.concat(F.slice(x, 2, F.size(x)), none),
+                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+
 def _ends(values: Column) -> Column:
     """Positions (from 1) of the last lines of chunks, the text's last line included."""
-    none = F.lit(None).cast("long")
-    rolled = F.zip_with(F.concat(F.array(none), F.slice(values, 1, F.size(values) - 1)), values, lambda a, b: (a * 31 + b) % 4294967291)
-    side = F.zip_with(F.concat(F.array(none), F.slice(rolled, 1, F.size(rolled) - 1)), F.concat(F.slice(rolled, 2, F.size(rolled)), F.array(none)),
-                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    low = F.zip_with(rolled, side, lambda r, s: F.coalesce((r < s["a"]) & (r < s["b"]), F.lit(False)))
-    at = F.transform(low, lambda x, i: F.when(x, i + 1))
-    return F.concat(F.filter(F.slice(at, 1, F.size(at) - 1), lambda x: x.isNotNull()), F.array(F.size(values)))
+    rolled = F.zip_with(_neighbours(values, "long"), values, lambda n, v: (n["a"] * 31 + v) % 4294967291)
+    low = let(rolled, lambda r: F.zip_with(r, _neighbours(r, "long"), lambda x, n: F.coalesce((x < n["a"]) & (x < n["b"]), F.lit(False))))
+    return F.concat(let(low, lambda w: F.filter(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.when(x, i + 1)), lambda x: x.isNotNull())), F.array(F.size(values)))
+
+
+def chunks_of(text: Column) -> Column:
+    """Array of (lines, chunk, hash) of a text."""
 
+    def cuts(lines: Column, ends: Column) -> Column:
+        return F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), ends, lambda a, b: let(
+            F.array_join(F.slice(lines, a + 1, b - a), "\n"), lambda c: F.struct((b - a).alias("lines"), c.alias("chunk"), F.xxhash64(c).alias("hash"))))
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """``docs`` (columns doc_id, text, text_key) with ``chunks``: array of (lines, chunk). Each step keeps what it reads, so none is evaluated per element."""
-    step = docs.withColumn("lines", F.split("text", "\n"))
-    step = step.select("*", _values(F.col("lines")).alias("values"))
-    step = step.select(*docs.columns, "lines", "values", _ends(F.col("values")).alias("ends"))
-    starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
-    step = step.select(*docs.columns, "lines", "ends", starts.alias("starts"))
-    cuts = F.zip_with("starts", "ends", lambda a, b: F.struct((b - a).alias("lines"), F.array_join(F.slice(F.col("lines"), a + 1, b - a), "\n").alias("chunk")))
-    return step.select(*docs.columns, "lines", "ends", cuts.alias("chunks")).select(*docs.columns, "chunks")
+    return let(F.split(text, "\n"), lambda lines: let(let(_values(lines), _ends), lambda ends: cuts(lines, ends)))
 
 
 def _places(rows: DataFrame) -> DataFrame:
-    each = chunked(rows).select("doc_id", "text_key", F.posexplode("chunks").alias("at", "c")).where(F.col("c.lines") >= LINES)
-    return each.select("doc_id", "text_key", "at", "c.lines", "c.chunk", F.xxhash64("c.chunk").alias("hash"))
+    each = rows.select("doc_id", "text_key", F.posexplode(chunks_of(F.col("text"))).alias("at", "c"))
+    return each.where(F.col("c.lines") >= LINES).select("doc_id", "text_key", "at", "c.lines", "c.chunk", "c.hash")
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -71,21 +73,26 @@ def repeated(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated chunks removed from ``text``; three more columns tell what went: n_lines, removed_lines, removed_chunks."""
     keep = [c for c in docs.columns if c.lower() not in ("n_lines", "removed_lines", "removed_chunks")]
-    key, own, own_key, gone = (fresh(docs.columns, c) for c in ("text_key", "of_doc", "of_key", "gone"))
-    lost = cut(repeated(docs).groupBy("doc_id", "text_key").agg(F.collect_set("at").alias("gone")), "chunk_removals").toDF(own, own_key, gone)
+    key, own, own_key, gone, left = (fresh(docs.columns, c) for c in ("text_key", "of_doc", "of_key", "gone", "left"))
+    lost = cut(repeated(docs).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("gone")), "chunk_removals")
+    few = lost.count() <= BROADCAST_ROWS // 4
+    lost = lost.toDF(own, own_key, gone)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(key, F.xxhash64("text"))
-    both = rows.join(lost, rows["doc_id"].eqNullSafe(lost[own]) & (rows[key] == lost[own_key]), "left")
-    names = {c: f"{c}_{key}" for c in keep}
-    cleared = both.select(*[F.col(f"`{c}`").alias(names[c]) for c in keep], gone, F.col("doc_id"), F.col("text"), F.col(key).alias("text_key"))
-    parts = chunked(cleared.select(*names.values(), gone, "doc_id", "text", "text_key"))
-    none = F.array().cast("array<int>")
-    flagged = parts.select(*names.values(), F.coalesce(F.col(gone), none).alias("gone"), "chunks").select(
-        *names.values(), "gone", F.transform("chunks", lambda c, i: F.struct(c["lines"].alias("lines"), c["chunk"].alias("chunk"), F.array_contains(F.col("gone"), i).alias("out"))).alias("chunks"))
-    total = lambda only: F.coalesce(F.aggregate("chunks", F.lit(0).cast("long"), lambda a, c: a + F.when(c["out"] | F.lit(not only), c["lines"]).otherwise(0)), F.lit(0))
-    left = F.array_join(F.transform(F.filter("chunks", lambda c: ~c["out"]), lambda c: c["chunk"]), "\n")
-    out = [(left if c == "text" else F.col(names[c])).alias(c) for c in keep]
-    return flagged.select(*out, total(False).cast("long").alias("n_lines"), total(True).cast("long").alias("removed_lines"),
-                          F.coalesce(F.size(F.filter("chunks", lambda c: c["out"])), F.lit(0)).cast("long").alias("removed_chunks"))
+    both = rows.join(F.broadcast(lost) if few else lost, rows["doc_id"].eqNullSafe(lost[own]) & (rows[key] == lost[own_key]), "left")
+
+    def kept(chunks: Column) -> Column:
+        out = F.coalesce(F.col(gone), F.array().cast("array<int>"))
+        flagged = F.transform(chunks, lambda c, i: F.struct(c["lines"].alias("lines"), c["chunk"].alias("chunk"), F.array_contains(out, i).alias("out")))
+        zero = F.lit(0).cast("long")
+        return let(flagged, lambda f: F.struct(
+            F.array_join(F.transform(F.filter(f, lambda c: ~c["out"]), lambda c: c["chunk"]), "\n").alias("text"),
+            F.aggregate(f, zero, lambda a, c: a + c["lines"]).alias("n_lines"),
+            F.aggregate(f, zero, lambda a, c: a + F.when(c["out"], c["lines"]).otherwise(0)).alias("removed_lines"),
+            F.size(F.filter(f, lambda c: c["out"])).cast("long").alias("removed_chunks")))
+
+    done = both.withColumn(left, F.when(F.col("text").isNotNull(), let(chunks_of(F.col("text")), kept)))
+    return done.select(*[F.col(f"{left}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep],
+                       *[F.coalesce(F.col(f"{left}.{c}"), F.lit(0).cast("long")).alias(c) for c in ("n_lines", "removed_lines", "removed_chunks")])
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,11 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: a name inside nested lambdas, where the optimizer would repeat an expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def id_in_slot(column: str, modulus: int, slot: int) -> Column:
     """Whether crc32 of the id as text leaves ``slot``; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus == slot, F.lit(False))
