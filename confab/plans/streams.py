@@ -205,7 +205,7 @@ def live_units(df):
 def online_identify(spark, sf):
     v = cut(tables.voice_samples(spark, sf), "live")
     path = v.inputFiles()[0].rsplit("/", 1)[0]
-    s = spark.readStream.schema(v.schema).parquet(path)
+    s = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 64).parquet(path)
     return drain(live.online_identify(live_units(s), tables.voice_profiles(spark, sf), idle_ms=None))
 
 

@@ -269,11 +269,14 @@ def test_speaker_count(spark):
     assert {r.project_id: r.voices for r in matching.estimate_speaker_count(d).collect()} == {1: 3, 2: 1}
 
 
-def test_kmeans_rounds_equal_the_local_run(spark):
-    d = unit_rows(spark, directions(4, 40, .2)).unionByName(unit_rows(spark, directions(3, 30, .3, 9), 2))
-    rows = lambda df: sorted((r.project_id, r.unit_id, r.cluster, round(r.confidence, 6)) for r in df.collect())
-    local = rows(matching.spherical_kmeans(d, 3))
-    assert len(local) == 70 and local == rows(matching.spherical_kmeans(d, 3, local_units=0))
+def test_kmeans_of_few_and_of_single_clusters(spark):
+    d = unit_rows(spark, directions(4, 40, .2)).unionByName(unit_rows(spark, directions(1, 2, .3, 9), 2))
+    one = matching.spherical_kmeans(d, 1).collect()
+    assert len(one) == 42 and {(r.cluster, r.confidence) for r in one} == {(0, .86)}
+    four = matching.spherical_kmeans(d, 4).collect()
+    groups = [{r.cluster for r in four if r.project_id == 1 and r.unit_id // 10 == g} for g in range(4)]
+    assert all(len(g) == 1 for g in groups) and len(set.union(*groups)) == 4
+    assert sorted(r.cluster for r in four if r.project_id == 2) == [0, 1]
 
 
 def test_two_directions_pair_up(spark):
@@ -282,12 +285,20 @@ def test_two_directions_pair_up(spark):
 
 
 def test_profile_blocks_equal_one_matrix(spark):
+    """Profiles and vectors of two widths, NULL vectors and one of a width that no profile has."""
     x, p = directions(4, 40, .4), directions(8, 8, .2, 5)
-    prof = spark.createDataFrame([(i, f"p{i}", [float(v) for v in r], .64, True) for i, r in enumerate(p)],
-                                 "profile_id long, name string, centroid array<double>, match_threshold double, enabled boolean")
-    rows = lambda df: sorted((r.unit_id, r.best_profile, round(r.score, 9), round(r.runner_up, 9)) for r in df.collect())
-    u = unit_rows(spark, x)
-    assert rows(matching.top_profiles(u, prof)) == rows(matching.top_profiles(u, prof, matrix_bytes=3 * 16 * 8))
+    vec = lambda v: [float(y) for y in v]
+    rows = [(i, f"p{i}", vec(r), .64, True) for i, r in enumerate(p)] + [(100 + i, "narrow", vec(r[:5]), .64, True) for i, r in enumerate(p[:4])]
+    prof = spark.createDataFrame(rows, "profile_id long, name string, centroid array<double>, match_threshold double, enabled boolean")
+    extra = spark.createDataFrame([(1, 900, 0, 1, vec(p[2][:5])), (1, 901, 0, 1, None), (1, 902, 0, 1, [1.0, 2.0])],
+                                  "project_id long, unit_id long, start_ms long, duration_ms long, embedding array<double>")
+    u = unit_rows(spark, x).unionByName(extra)
+    short = lambda v: None if v is None else round(v, 9)
+    got = [sorted((r.unit_id, r.best_profile, short(r.score), short(r.runner_up), short(r.margin)) for r in matching.top_profiles(u, prof, matrix_bytes=b).collect())
+           for b in (64 << 20, 3 * 16 * 8, 1)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 43
+    by = {r[0]: r for r in got[0]}
+    assert by[900][1] == 102 and by[901][1:] == by[902][1:] == (None, None, None, None)
 
 
 def test_one_peak_does_not_win_a_vote(spark):
