@@ -34,6 +34,7 @@ WINDOW = 13
 SHARE = 20  # a document is contaminated when SHARE times its hit words are at least its words
 SHARD_WORDS = 2_000_000
 STEP = 16
+BROADCAST_ROWS = 1 << 20  # contaminated documents that may be named to every task
 BLOCK_BYTES = 4 << 20  # bytes of benchmark text searched in one pass
 
 INDEX = ("shard long, doc_id array<long>, text_key array<long>, starts binary, alphabet array<string>, bounds binary, bits binary, "
@@ -393,8 +394,9 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shar
     """The rows that are not contaminated, unchanged."""
     bad = contamination(docs, benchmark, window, share).where("contaminated").select("doc_id", "text_key").distinct()
     own, key = fresh(docs.columns, "bad_doc"), fresh(docs.columns, "bad_key")
-    bad = bad.toDF(own, key)
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[own]) & (F.xxhash64(docs["text"]) == bad[key]), "left_anti").select(docs.columns)
+    bad = cut(bad.toDF(own, key), "contaminated")
+    few = bad.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(bad) if few else bad, docs["doc_id"].eqNullSafe(bad[own]) & (F.xxhash64(docs["text"]) == bad[key]), "left_anti").select(docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
