@@ -231,58 +231,64 @@ def resolve_profile(gated: DataFrame, samples: DataFrame, profiles: DataFrame) -
     return done.unionByName(residual)
 
 
-def new_profiles(residual: DataFrame, first_id: int = 1, threshold: float = 0.64) -> DataFrame:
+def new_profiles(residual: DataFrame, first_id: int = 1, threshold: float = 0.64, block: int = LEADERS) -> DataFrame:
     """Open profiles for observations no known voice fits; returns them with profile_id and opened.
 
-    Observations are handled in (project_id, cluster) order as a sequence would: a later one joins
-    a profile opened earlier if it fits, else opens its own.  Each round settles the next
-    ``LEADERS`` observations one after another, then matches all others with the profiles they
-    opened in one distributed pass; the profile vector is the opener's.
+    Observations are handled in (project_id, cluster) order as a sequence would: a later one joins the profile opened
+    earlier that it fits, else opens its own; the profile vector is the opener's.  A round settles the next ``block``
+    observations.  All later ones are then scored against the profiles opened in it, in one distributed pass, and carry
+    their best and second best with them; so when their turn comes they have met every profile opened before them, and the
+    answer does not depend on ``block``.
     """
     lone = (F.size("kept") == 2) & (F.col("coherence") < TWO_SAMPLE_COHERENCE)
-    rest = cut(residual.where(~lone).select(*OBS, "centroid", "score", "runner_up"), "residual")
+    none = F.lit(None)
+    rest = cut(residual.where(~lone).select(
+        *OBS, "centroid", F.col("score").alias("known_best"), F.col("runner_up").alias("known_second"),
+        none.cast("long").alias("own_id"), none.cast("double").alias("own_best"), none.cast("double").alias("own_second")), "residual")
     schema = "project_id long, cluster long, centroid array<double>, profile_id long, opened boolean"
     settled, next_id = None, first_id
+    strict = min(0.90, threshold + 0.015)
 
     def settle(start: int):
         def run(batches):
-            vectors: list[np.ndarray] = []
+            openers, n = None, 0
             for pdf in batches:
-                ids, opened = [], []
-                for c, best, second in zip(pdf["centroid"], pdf["score"], pdf["runner_up"]):
-                    v = np.asarray(c, dtype=np.float64)
-                    scores = np.array([u @ v for u in vectors])
-                    known = [s for s in (best, second) if s is not None and not np.isnan(s)]
-                    i = int(scores.argmax()) if len(scores) else -1
-                    others = sorted([*known, *np.delete(scores, i)], reverse=True) if i >= 0 else []
-                    need = max(min(0.90, threshold + 0.015), 0.70 if others else 0.72)
-                    if i >= 0 and scores[i] >= need and (not others or scores[i] - others[0] >= 0.035):
-                        ids.append(start + i)
+                vectors, ids, opened = matrix(pdf["centroid"]), [], []
+                if openers is None:
+                    openers = np.zeros((block, vectors.shape[1]))
+                met = pdf[["known_best", "known_second", "own_best", "own_second"]].to_numpy(np.float64)
+                for v, row, own in zip(vectors, met, pdf["own_id"]):
+                    here = openers[:n] @ v
+                    near = here.max() if n else -np.inf
+                    earlier = not np.isnan(row[2]) and row[2] >= near
+                    score = row[2] if earlier else near
+                    others = np.concatenate([row[[0, 1, 3]] if earlier else row, here if earlier else np.delete(here, here.argmax()) if n else here])
+                    others = others[~np.isnan(others)]
+                    need = max(strict, 0.70 if len(others) else 0.72)
+                    if score >= need and (not len(others) or score - others.max() >= 0.035):
+                        ids.append(int(own) if earlier else start + int(here.argmax()))
                         opened.append(False)
                     else:
-                        vectors.append(v)
-                        ids.append(start + len(vectors) - 1)
+                        openers[n] = v
+                        ids.append(start + n)
                         opened.append(True)
+                        n += 1
                 yield pdf.assign(profile_id=ids, opened=opened)[["project_id", "cluster", "centroid", "profile_id", "opened"]]
 
         return run
 
     while not rest.isEmpty():
-        lead = rest.orderBy(*OBS).limit(LEADERS).coalesce(1).sortWithinPartitions(*OBS)
+        lead = rest.orderBy(*OBS).limit(block).coalesce(1).sortWithinPartitions(*OBS)
         lead = cut(lead.mapInPandas(settle(next_id), schema), "leaders")
         opened = lead.where("opened").select("profile_id", F.lit("").alias("name"), "centroid",
                                              F.lit(threshold).alias("match_threshold"), F.lit(True).alias("enabled"))
-        others = top_profiles(rest.join(lead, OBS, "left_anti").withColumnRenamed("runner_up", "known_second")
-                              .withColumnRenamed("score", "known_best"), opened, "centroid")
-        second = F.greatest("runner_up", "known_best")
-        need = F.greatest(F.lit(min(0.90, threshold + 0.015)), F.when(second.isNull(), 0.72).otherwise(0.70))
-        fits = (F.col("score") >= need) & (F.coalesce(F.col("score") - second, F.lit(1.0)) >= 0.035)
-        others = cut(others.withColumn("fits", F.coalesce(fits, F.lit(False))), "others")
-        joined = others.where("fits").select(*OBS, "centroid", F.col("best_profile").alias("profile_id"), F.lit(False).alias("opened"))
-        settled = lead.unionByName(joined) if settled is None else settled.unionByName(lead).unionByName(joined)
+        settled = lead if settled is None else settled.unionByName(lead)
         next_id += lead.where("opened").count()
-        rest = others.where(~F.col("fits")).select(
-            *OBS, "centroid", F.greatest("known_best", "score").alias("score"), F.col("known_second").alias("runner_up"))
+        later = top_profiles(rest.join(lead, OBS, "left_anti"), opened, "centroid")
+        better = F.col("own_best").isNull() | (F.col("score") > F.col("own_best"))
+        two = F.sort_array(F.filter(F.array("own_best", "own_second", "score", "runner_up"), lambda s: s.isNotNull()), asc=False)
+        rest = cut(later.select(*OBS, "centroid", "known_best", "known_second", F.when(better, F.coalesce("best_profile", "own_id")).otherwise(F.col("own_id")).alias("own_id"),
+                                F.get(two, F.lit(0)).alias("own_best"), F.get(two, F.lit(1)).alias("own_second")), "residual")
     if settled is None:
         return residual.sparkSession.createDataFrame([], schema)
     return settled

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from confab.operators.blocks import numbered, time_block
 from confab.operators import search
 from confab.plans.registry import query, sql
 from confab.sources import tables
@@ -133,6 +134,7 @@ def latest_evidence(spark, sf):
 
 @query("markers_in_order", sql("markers", """
     SELECT project_id, marker_id, time_ms, rank FROM (SELECT *, row_number() OVER (PARTITION BY project_id
-      ORDER BY time_ms, marker_id) AS rank FROM markers) WHERE rank<=100"""))
+      ORDER BY time_ms, marker_id) AS rank FROM markers)"""))
 def markers_in_order(spark, sf):
-    return search.latest_per(tables.markers(spark, sf), ["project_id"], ["time_ms", "marker_id"], 100)
+    """All markers; ranks come from blocks of recording time, so a project's list is never sorted in one task."""
+    return numbered(tables.markers(spark, sf), ["project_id"], time_block("time_ms"), ["time_ms", "marker_id"], "rank")

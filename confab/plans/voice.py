@@ -325,11 +325,10 @@ def resolve_unmatched(spark, sf):
 
 @query("new_profiles")
 def new_profiles(spark, sf):
-    """Paused and unknown voices open profiles of their own: match against the first three only."""
+    """Voices that no enabled profile fits open profiles of their own; none of the observations claims one."""
     _, ok, profiles, obs, gate = learning(spark, sf)
-    few = profiles.where(F.col("name").isin("Voz 0", "Voz 1", "Voz 2"))
     free = gate.withColumn("matched_profile_id", F.lit(None).cast("long"))
-    res = cut(vm.resolve_profile(free, ok, few).where(F.col("status") == "residual"), "residual")
+    res = cut(vm.resolve_profile(free, ok, profiles).where(F.col("status") == "residual"), "residual")
     out = cut(vm.new_profiles(res, 1_000), "new")
     names = vm.name_new_profiles(out, obs, profiles)
     return out.select("project_id", "cluster", "profile_id", "opened").join(names, "profile_id", "left")

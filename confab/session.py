@@ -16,6 +16,8 @@ _RUNTIME = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_ROOTS: set[str] = set()
+
 
 def build(app: str = "confab", cpus: str = "*", **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -41,20 +43,31 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; a temporary one only where none is configured."""
+    """Folder every executor can reach. Only a session without executors of its own may fall back to a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="confab-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path below this application's folder, which goes when the application ends."""
+    root = os.path.join(shared_dir(spark), f"confab-{spark.sparkContext.applicationId}")
+    if root not in _ROOTS:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _ROOTS.add(root)
+    return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:

@@ -301,6 +301,27 @@ def test_profile_blocks_equal_one_matrix(spark):
     assert by[900][1] == 102 and by[901][1:] == by[902][1:] == (None, None, None, None)
 
 
+def test_new_profiles_do_not_depend_on_the_block(spark):
+    """Sixty voices against the sequence written down, settled at once and in blocks of one, five and seven."""
+    rng = np.random.default_rng(4)
+    x = directions(12, 60, .5, 3)[rng.permutation(60)]
+    x = np.vstack([x[:50], x[:10] + 0.01])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i // 3, i % 3, [float(v) for v in r], ["a", "b", "c"], .9, .3 if i % 4 else None, .1 if i % 8 else None) for i, r in enumerate(x)]
+    d = spark.createDataFrame(rows, "project_id long, cluster long, centroid array<double>, kept array<string>, coherence double, score double, runner_up double")
+    want, openers = [], []
+    for i, v in enumerate(x):
+        near = sorted(((float(v @ x[o]), -n) for n, o in enumerate(openers)), reverse=True)
+        rivals = [s for s, _ in near[1:]] + [s for s in rows[i][5:7] if s is not None]
+        fits = near and near[0][0] >= max(.655, .70 if rivals else .72) and (not rivals or near[0][0] - max(rivals) >= .035)
+        if not fits:
+            openers.append(i)
+        want.append((i // 3, i % 3, 1 - near[0][1] if fits else len(openers), not fits))
+    assert 5 < len(openers) < 60
+    for block in (4_096, 1 + 4, 7, 23):
+        assert sorted((r.project_id, r.cluster, r.profile_id, r.opened) for r in vm.new_profiles(d, block=block).collect()) == want
+
+
 def test_one_peak_does_not_win_a_vote(spark):
     e = [(1, 1, 1, 1500, .9, .99)] + [(1, 1, 2, 1500, .9, .81)] * 5
     d = spark.createDataFrame(e, "session_id long, cluster long, profile_id long, duration_ms long, confidence double, match_confidence double")
