@@ -24,7 +24,7 @@ from confab.session import cut
 
 ROUNDS = 40
 KINDS = {
-    "email": r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -50,12 +50,14 @@ ENDINGS = {
     "greek": {"f": ("να", "λια", "ρα", "τη"), "m": ("νος", "ρης", "λος", "ντας"), "n": ("ν", "ς", "ρι", "βι"), "s": ("δης", "κης", "λου", "πουλος")},
 }
 
+# lookaheads let most positions of a text fail at their first character
 _NAME = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
-_WORD = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
+_WORD = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
 _TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {_NAME}(?: {_NAME}){{0,2}}(?![\p{{L}}\p{{N}}])"
 _GIVEN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {_NAME}(?![\p{{L}}\p{{N}}])"
+_FIRST = "".join(sorted({w[0] for group in (*TITLES.values(), *GIVEN.values()) for w in group}))
 _PLAIN = "|".join(KINDS.values())
-FIND = f"{_PLAIN}|{_TITLED}|{_GIVEN}"
+NAMES = f"(?=[{_FIRST}])(?:{_TITLED}|{_GIVEN})"
 APPLY = f"{_PLAIN}|{_WORD}"
 
 
@@ -90,8 +92,9 @@ def script_of(word: Column) -> Column:
 
 def mentions(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, mention, kind, canon) of every different mention; names come as one row per name."""
-    some = rows.where(F.col("text").rlike(r"[0-9@]|\p{Lu}\p{L}*\.? \p{Lu}"))
-    found = some.select("doc_id", "text_key", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(FIND), F.lit(0)))).alias("m"))
+    plain = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(_PLAIN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    both = F.concat(plain, F.regexp_extract_all("text", F.lit(NAMES), F.lit(0)))
+    found = rows.select("doc_id", "text_key", F.explode(F.array_distinct(both)).alias("m"))
     found = found.select("doc_id", "text_key", "m", kind_of(F.col("m")).alias("kind")).where(F.col("kind").isNotNull())
     plain = found.where("kind <> 'name'").select("doc_id", "text_key", F.col("m").alias("mention"), "kind", canonical(F.col("kind"), F.col("m")).alias("canon"))
     words = F.split("m", " ")
@@ -133,7 +136,6 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     """Surrogate of a canonical form; draw 0 is the first."""
     d = _digest(key, kind, canon, draw, "a")
     drawn = _like(canon, d)
-    ten = F.array(*[F.lit(v) for v in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9)])
     body = F.concat(F.substring(canon, 1, 1), F.substring(drawn, F.lit(2), F.length(canon) - 2))
     card = F.concat(body, ((10 - luhn_rest(F.concat(body, F.lit("0")))) % 10).cast("string"))
     phone = F.concat(F.substring(canon, F.lit(1), F.length(canon) - 9), F.substring(drawn, F.length(canon) - 8, F.lit(9)))
@@ -147,7 +149,6 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
         for role, endings in ENDINGS[script].items():
             middle = F.array_join(F.transform(F.sequence(F.lit(0), draw.cast("int") + 1), lambda i: _pick(SYLLABLES[script], F.conv(F.substring(d, (i * 3 % 60 + 1).cast("int"), 3), 16, 10).cast("long"))), "")
             name = F.when(kind == f"name {role} {script}", F.concat(middle, _pick(endings, _number(d, 8)))).otherwise(name)
-    del ten
     return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", F.concat_ws(".", *octets)).when(kind == "email", mail).when(
         kind == "iban", iban).when(kind == "secret", secret).when(kind.isin("ssn", "dni"), drawn).otherwise(name)
 
