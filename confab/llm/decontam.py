@@ -32,7 +32,7 @@ from confab.session import cut
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated when SHARE times its hit words are at least its words
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 600_000
 STEP = 16
 BROADCAST_ROWS = 1 << 20  # contaminated documents that may be named to every task
 BLOCK_BYTES = 4 << 20  # bytes of benchmark text searched in one pass

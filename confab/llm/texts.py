@@ -9,8 +9,8 @@ from pyspark.sql import Column, SparkSession, functions as F
 
 from confab import session
 
-BATCH_ROWS = 256  # rows per Arrow batch: long texts must not meet in batches of ten thousand
-SLICE_BYTES = 1 << 20  # bytes of text that one vectorised step looks at; its arrays take up to a hundred times as much
+BATCH_ROWS = 128  # rows per Arrow batch: long texts must not meet in batches of ten thousand
+SLICE_BYTES = 1 << 18  # bytes of text that one vectorised step looks at; its arrays take up to a hundred times as much
 
 
 def configure(spark: SparkSession) -> SparkSession:
