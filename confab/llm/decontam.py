@@ -372,7 +372,8 @@ def cut_spans(text: str | None, spans: list[tuple[int, int]]) -> str | None:
         return text
     import re
 
-    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    lower = text.translate({c: c + 32 for c in range(65, 91)})  # words are those of the lower-cased text, at the same places
+    places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)]
     keep, at = [], 0
     for a, b in spans:
         keep.append(text[at:places[a][0]])
