@@ -23,6 +23,7 @@ from confab.llm.texts import fresh
 from confab.session import cut
 
 ROUNDS = 40
+BROADCAST_MENTIONS = 1 << 19  # mentions, of some fifty bytes each, that may go to every task
 KINDS = {
     "email": r"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
@@ -206,9 +207,11 @@ def pseudonymise(docs: DataFrame, key: str = "confab") -> DataFrame:
     """``docs`` with surrogates in ``text`` and the number of replaced mentions in ``n_found``."""
     keep = [c for c in docs.columns if c.lower() != "n_found"]
     tk, own, own_key, swaps, ents = (fresh(docs.columns, c) for c in ("text_key", "of_doc", "of_key", "swaps", "found_parts"))
-    maps = cut(replacements(docs, key), "swaps").toDF(own, own_key, swaps)
+    maps = cut(replacements(docs, key), "swaps")
+    few = (maps.agg(F.sum(F.size("swaps"))).first()[0] or 0) <= BROADCAST_MENTIONS
+    maps = maps.toDF(own, own_key, swaps)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(tk, F.xxhash64("text"))
-    both = rows.join(maps, rows["doc_id"].eqNullSafe(maps[own]) & (rows[tk] == maps[own_key]), "left")
+    both = rows.join(F.broadcast(maps) if few else maps, rows["doc_id"].eqNullSafe(maps[own]) & (rows[tk] == maps[own_key]), "left")
     parts = both.select(*[F.col(f"`{c}`") for c in keep], swaps, F.when(F.col(swaps).isNotNull(), F.regexp_extract_all("text", F.lit(APPLY), F.lit(0))).alias(ents))
     new = F.transform(ents, lambda e: F.coalesce(F.element_at(F.col(swaps), e), e))
     gaps = F.split("text", APPLY)
