@@ -11,6 +11,12 @@ per task); texts move only for chunks whose hash is repeated.
 Defined results: a null text stays null; a text without a line break is one line; equal rows (id and text) are one place, so both keep
 or lose a chunk; a null id comes after all others; a chunk of one line always stays, empty lines are lines; a text that loses all
 chunks becomes empty; columns are unchanged but for ``text``; an empty table gives an empty result.
+
+``dedupe`` leaves what no two boundaries enclose: short passages, and the edges of long ones. ``dedupe_passages`` removes these as well.
+Its spans are the chunks and, from every line on and back from every line, the fewest lines of over ``LONG_WORDS`` words (a line counts as
+one word at least). The spans inside a run of over ``LONG_WORDS`` words cover all of it and depend on nothing outside, so such a run, a
+single line too, goes wherever an equal one stands at an earlier place, whatever is around it. Every line that goes has an equal one
+earlier, so the text of a line is never lost altogether; runs of fewer words go as equal chunks only.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from confab.llm.texts import fresh, let
 from confab.session import cut
 
 LINES = 2
+LONG_WORDS = 50
+SPAN = 1 << 31  # a span is first line * SPAN + number of lines
 BROADCAST_ROWS = 1 << 20  # repeated hashes that may go to every task
 
 
@@ -100,6 +108,80 @@ def report(docs: DataFrame) -> DataFrame:
     return dedupe(docs.select("doc_id", "text")).select("doc_id", "n_lines", "removed_lines", "removed_chunks", F.sha2("text", 256).alias("left_sha256"))
 
 
+def _reach(words: Column) -> Column:
+    """Number of lines from every line on that first exceeds LONG_WORDS words; 0 if the text ends before."""
+    full = (LONG_WORDS + 1) * 64  # words * 64 + lines
+    return F.transform(words, lambda w, i: let(
+        F.aggregate(F.slice(words, i + 1, LONG_WORDS + 1), F.lit(0).cast("long"), lambda t, x: F.when(t >= full, t).otherwise(t + x * 64 + 1)),
+        lambda t: F.when(t >= full, t % 64).otherwise(0)))
+
+
+def _spans(lines: Column) -> Column:
+    """Distinct spans of a text's lines."""
+
+    def code(first: Column, n: Column, least: int) -> Column:
+        return F.when(n >= least, first.cast("long") * SPAN + n)
+
+    words = F.transform(lines, lambda x: F.greatest(F.regexp_count(x, F.lit(r"\S+")), F.lit(1)).cast("long"))
+    on = let(words, lambda w: F.transform(let(w, _reach), lambda n, i: code(i, n, 1)))
+    back = let(F.reverse(words), lambda w: F.transform(_reach(w), lambda n, i: code(F.size(w) - i - n, n, 1)))
+    chunks = let(let(_values(lines), _ends), lambda ends: F.zip_with(
+        F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), ends, lambda a, b: code(a, b - a, LINES)))
+    return F.array_distinct(F.filter(F.concat(on, back, chunks), lambda c: c.isNotNull()))
+
+
+def _span_lines(lines: Column, span: Column) -> Column:
+    return F.slice(lines, (F.shiftright(span, 31) + 1).cast("int"), (span % SPAN).cast("int"))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, span): runs of lines that an equal one precedes."""
+    rows = docs.select(F.col("doc_id"), "text", F.xxhash64("text").alias("text_key")).where(F.col("text").isNotNull())
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"), F.col("span"))
+
+    def places(whole: bool) -> DataFrame:
+        def named(lines: Column, span: Column) -> Column:
+            run = _span_lines(lines, span)
+            return F.struct(span.alias("span"), F.xxhash64(run).alias("hash"), *([F.array_join(run, "\n").alias("run")] if whole else []))
+
+        each = let(F.split("text", "\n"), lambda lines: F.transform(let(lines, _spans), lambda c: named(lines, c)))
+        return rows.select("doc_id", "text_key", F.explode(each).alias("c")).select("doc_id", "text_key", "c.*")
+
+    often = cut(places(False).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "span_hashes")
+    few = often.count() <= BROADCAST_ROWS
+    some = cut(places(True).join(F.broadcast(often) if few else often, "hash", "left_semi"), "span_places")
+    heads = cut(some.groupBy("hash", "run").agg(F.min(place).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), "span_heads")
+    again = some.join(heads, ["hash", "run"]).where(~place.eqNullSafe(F.col("head")))
+    return again.select("doc_id", "text_key", "span").distinct()
+
+
+def dedupe_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without the runs of lines that an equal one precedes; two more columns tell what went: n_lines, removed_lines."""
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "removed_lines")]
+    key, own, own_key, gone, left = (fresh(docs.columns, c) for c in ("text_key", "of_doc", "of_key", "gone", "left"))
+    lost = cut(repeated_spans(docs).groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("gone")), "span_removals")
+    few = lost.count() <= BROADCAST_ROWS // 4
+    lost = lost.toDF(own, own_key, gone)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(key, F.xxhash64("text"))
+    both = rows.join(F.broadcast(lost) if few else lost, rows["doc_id"].eqNullSafe(lost[own]) & (rows[key] == lost[own_key]), "left")
+    out = F.flatten(F.transform(F.coalesce(F.col(gone), F.array().cast("array<bigint>")), lambda c: F.sequence(
+        F.shiftright(c, 31).cast("int"), (F.shiftright(c, 31) + c % SPAN - 1).cast("int"))))
+
+    def kept(lines: Column) -> Column:
+        return let(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), out), lambda stay: F.struct(
+            F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n").alias("text"),
+            F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(stay)).cast("long").alias("removed_lines")))
+
+    done = both.withColumn(left, F.when(F.col("text").isNotNull(), let(F.split("text", "\n"), kept)))
+    return done.select(*[F.col(f"{left}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in keep],
+                       *[F.coalesce(F.col(f"{left}.{c}"), F.lit(0).cast("long")).alias(c) for c in ("n_lines", "removed_lines")])
+
+
+def report_passages(docs: DataFrame) -> DataFrame:
+    """Digest of ``dedupe_passages``: counts, and a hash of what is left of each text."""
+    return dedupe_passages(docs.select("doc_id", "text")).select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("left_sha256"))
+
+
 ORACLE = r"""
 WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, i, lines[i] AS line, ('0x' || substr(md5(lines[i]), 1, 8))::BIGINT AS v FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM t)),

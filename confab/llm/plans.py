@@ -12,6 +12,8 @@ from confab.sources.tables import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Beside the one query of each operator: what goes beyond a query's check SQL.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -86,3 +88,11 @@ def op9_language_id(spark, sf_dir):
 def op10_decontamination(spark, sf_dir):
     """Benchmark words found in every document through an FM-index."""
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def line_passages(spark, sf_dir):
+    """Documents without runs of lines that occur earlier, short ones and the edges of long ones too."""
+    return line_dedup.report_passages(read(configure(spark), sf_dir, "documents"))
+
+
+WHOLE["line_passages"] = line_passages
