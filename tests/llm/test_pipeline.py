@@ -42,3 +42,14 @@ def test_run_and_empty_table(spark, tmp_path):
     assert none.count() == 0
     assert langid.UNKNOWN == "und" and mixing.MOST == 3
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_near_copies_between_the_limits_of_op6_and_of_the_stage(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "x", *words[51:80], "y", *words[81:]])), (3, " ".join(["a", *words[:30]])), (4, "else")]
+    sets = {n: [brute.word_set(t, n) for _, t in rows[:2]] for n in (4, 5)}
+    share = {n: 100 * len(a & b) / len(a | b) for n, (a, b) in sets.items()}
+    assert share[4] < 85 and share[5] >= 80
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
