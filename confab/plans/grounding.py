@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from confab.operators import grounding as g
+from confab.operators import grounding as g, insights
 from confab.plans.registry import CTES, query, sql
+from confab.session import cut
 from confab.sources import tables
 
 CTES["notes"] = (("markers", "projects"), r"""
@@ -99,3 +100,54 @@ def ground_edges(spark, sf):
            CAST(sum(CASE WHEN turn=2 THEN 0 ELSE 2 END) AS BIGINT) AS "tensionMarkers" FROM notes GROUP BY 1"""))
 def note_signal_totals(spark, sf):
     return g.note_signal_totals(raw(spark, sf)[1])
+
+
+def whole(spark, sf):
+    """(reports, notes, segments, projects): one JSON report per project on its whole text, from F5 to F8; no notes.
+
+    Beside ``raw``, whose check SQL fixes the first word of every turn.
+    """
+    s = tables.staged(spark, sf)
+    p = cut(tables.projects(spark, sf, s), "projects")
+    top = cut(insights.top_concepts(insights.token_rows(s)), "concepts")
+    points = insights.key_points(s, cut(insights.pick_key_points(insights.segment_scores(s)), "picks"))
+
+    def listed(df, field, order, **values):
+        item = F.struct(F.col(order).alias("o"), F.struct(*[F.col(c).cast("string").alias(k) for k, c in values.items()]).alias("i"))
+        rows = df.groupBy("project_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+        return rows.select("project_id", F.transform("x", lambda x: x["i"]).alias(field))
+
+    parts = [listed(points, "keyPoints", "pick", title="title", text="text", startMs="start_ms"),
+             listed(insights.chapters(s, p), "chapters", "bucket", title="title", description="description", startMs="start_ms"),
+             listed(top, "concepts", "rank", label="label", weight="weight"),
+             listed(insights.concept_edges(s, top), "conceptEdges", "rank", source="source", target="target", weight="weight")]
+    reports = p.select("project_id")
+    for part in parts:
+        reports = reports.join(cut(part, "part"), "project_id", "left")
+    payload = F.to_json(F.struct("keyPoints", "chapters", "concepts", "conceptEdges")).alias("payload")
+    reports = cut(reports.select("project_id", payload), "reports")
+    notes = p.where(F.lit(False)).select("project_id", F.lit(0).alias("note"), F.lit("{}").alias("payload"))
+    return g.parse(reports, g.REPORT_SCHEMA), g.parse(notes, g.NOTE_SCHEMA), s, p
+
+
+@query("ground_points_whole")
+def ground_points_whole(spark, sf):
+    reports, notes, s, _ = whole(spark, sf)
+    return g.ground_points(reports, notes, s)
+
+
+@query("ground_chapters_whole")
+def ground_chapters_whole(spark, sf):
+    reports, _, s, p = whole(spark, sf)
+    return g.ground_chapters(reports, s, p.select("project_id", "duration_ms"))
+
+
+@query("ground_concepts_whole")
+def ground_concepts_whole(spark, sf):
+    return g.ground_concepts(whole(spark, sf)[0]).drop("folded")
+
+
+@query("ground_edges_whole")
+def ground_edges_whole(spark, sf):
+    reports = whole(spark, sf)[0]
+    return g.ground_edges(reports, g.ground_concepts(reports))

@@ -344,6 +344,13 @@ def learning_audit(spark, sf):
     return a.where(~F.col("item").startswith("status:"))
 
 
+@query("learning_audit_whole")
+def learning_audit_whole(spark, sf):
+    """The rows of learning_audit and those of the final states, which its check SQL lacks."""
+    g, ok, profiles, _, gate = learning(spark, sf)
+    return vm.learning_audit(g, vm.temporally_diverse(ok, vm.OBS), vm.resolve_profile(gate, ok, profiles), gate)
+
+
 @query("replace_project_evidence", sql("memory", """
     WITH l AS (SELECT * FROM (SELECT sample_id+100000 AS sample_id, (profile_id+sample_id%2)%10 AS profile_id, source_project, source_segment,
         duration_ms, confidence, embedding, created_at FROM memory WHERE confidence>=0.8)),
