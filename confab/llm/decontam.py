@@ -19,8 +19,6 @@ or repeated doc_ids keep a row each; other columns are not looked at; empty tabl
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -273,6 +271,8 @@ def blocks_of(benchmark: DataFrame, most: int = BLOCK_BYTES):
 
 def merged(doc: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray):
     """Union of the spans of each (doc, item), as sorted arrays."""
+    if not len(doc):
+        return doc, item, start, end
     by = np.lexsort((start, item, doc))
     doc, item, start, end = doc[by], item[by], start[by], end[by]
     group = np.zeros(len(doc), np.int64)
@@ -320,7 +320,7 @@ def find_spans(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
                         doc.append(d)
                         start.append(position - s.starts[d])
                         end.append(position - s.starts[d] + size)
-                    if not doc:
+                    if not any(map(len, doc)):  # known words do not make an occurrence
                         continue
                     d, i, a, b = merged(*map(np.concatenate, (doc, item, start, end)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), row["shard"]), pa.int64()), pa.array(d, pa.int64()), pa.array(ids[i], pa.string()),
@@ -405,6 +405,3 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return contamination(docs, benchmark).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
-
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()

@@ -83,3 +83,11 @@ def test_edges(spark):
     none = F.lit(False)
     assert got(decontam.report(d.where(none), b)) == []
     assert {r[2] for r in got(decontam.report(d, b.where(none)))} == {0}
+
+
+def test_known_words_without_an_occurrence(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "b a"), (2, "c c")], "item_id long, text string")
+    assert got(decontam.report(docs, items)) == expected([(1, "a b c"), (2, "x")], [(1, "b a"), (2, "c c")])
+    empty = np.zeros(0, np.int64)
+    assert all(not len(x) for x in decontam.merged(empty, empty, empty, empty))
