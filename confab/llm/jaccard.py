@@ -8,7 +8,8 @@ sets are linked when ``100 * intersection >= percent * union``. Equal sets are o
 * **Heavy sets** meet through inverted lists of their prefixes in one global order (rarest first), with the size and position
   bounds of prefix filtering. A light set that is large enough to have a heavy partner appears in these lists as well.
 * The **boundary** is the largest size at which enumerating subsets costs no more rows than scanning lists; the mean length of a
-  list is measured on a sample of the texts. Any boundary, and any global order, gives the same links.
+  list is measured on a sample of the texts, and a list longer than its heads costs its heads. Any boundary, and any global order,
+  gives the same links.
 
 Shingles that are frequent in the sample go to the end of the order (at most ``FREQUENT`` of them are named; the order only moves
 cost). A list is not expanded into all its pairs: for ``ROUNDS`` rounds every member outside the list's largest component is held against
@@ -17,9 +18,14 @@ different components of one list are compared after that, all of them but the la
 and no link between components is lost. Candidate pairs pass a count of their elements in ``BINS`` bins (the sum of the smaller counts
 is at least the intersection) before their whole sets are moved and intersected.
 
+A class of equal sets is a node, named by the hash of one of its texts, so rows that share an id but not a text stay apart while
+links are searched. ``linked_pairs`` gives verified links; pairs that already share a component are not compared, so these
+connect every component but are not all links within it.
+
 Defined results: null or wordless texts have an empty set and are their own component; fewer words than a shingle count as one
-shingle; rows with a null id take part, and a component of such rows only has a null id; rows that share an id are one document;
-other columns are not looked at; an empty table gives an empty result.
+shingle; rows with a null id take part, and a component of such rows only has a null id; in ``jaccard_components`` rows that share an
+id are one document, reached by the links of any of its texts, while ``keep_one`` looks at each row for itself; other columns are not
+looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +35,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from confab.llm.components import components, rough_components
-from confab.llm.texts import byte_table, flat, mix, slices, word_hashes
+from confab.llm.texts import byte_table, flat, fresh, giving_back, mix, slices, word_hashes
 from confab.session import cut
 
 WORDS = 4
@@ -59,8 +65,8 @@ def subset_count(n: int, percent: int) -> int:
 
 
 def boundary(mean_list: float, percent: int) -> int:
-    """Largest size whose subsets are no more rows than its prefix has list entries to scan."""
-    best = 0
+    """Largest size whose subsets are no more rows than its prefix meets in lists: a list is met through its heads, however long it is."""
+    best, mean_list = 0, min(mean_list, MAIN_HEADS + OTHER_HEADS)
     for n in range(1, LIGHT_MOST + 1):
         if subset_count(n, percent) <= (n - required(n, percent) + 1) * max(1.0, mean_list):
             best = n
@@ -129,8 +135,12 @@ def subset_keys(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+
+
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))).alias("id"), "text")
+    return docs.select(_id().alias("id"), F.xxhash64("text").alias("node"), "text")
 
 
 def _lists(arrays, kind=pa.int64()):
@@ -150,7 +160,7 @@ def measured(rows: DataFrame, words: int, percent: int) -> tuple[np.ndarray, int
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), _lists(sets)], ["hi", "lo", "set"])
 
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLE)) == 0).select("text").distinct()
-    sets = sample.mapInArrow(tokens, "hi long, lo long, set array<long>").dropDuplicates(["hi", "lo"])
+    sets = sample.mapInArrow(giving_back(tokens), "hi long, lo long, set array<long>").dropDuplicates(["hi", "lo"])
     counted = cut(sets.select(F.explode("set").alias("token"), (F.size("set") <= LIGHT_MOST).cast("long").alias("light"))
                   .groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("light").alias("light")).where("n > 1 or light > 0"), "shingle_counts")
     light = counted.agg(F.sum("light").alias("all"), F.sum(F.col("light") * (SAMPLE * (F.col("n") - 1) + 1)).alias("entries")).first()
@@ -159,7 +169,7 @@ def measured(rows: DataFrame, words: int, percent: int) -> tuple[np.ndarray, int
 
 
 def document_sets(rows: DataFrame, words: int, percent: int, frequent: np.ndarray, light: int) -> DataFrame:
-    """(id, n, hi, lo, prefix, subsets, bins) of every row: set size, signature, prefix in the global order, subset hashes,
+    """(id, node, n, hi, lo, prefix, subsets, bins) of every row: set size, signature, prefix in the global order, subset hashes,
     elements per bin (NULL if one has more than a byte holds)."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -177,11 +187,11 @@ def document_sets(rows: DataFrame, words: int, percent: int, frequent: np.ndarra
                 subsets.append(subset_keys(u, percent) if 0 < size <= light else none)
                 counts = np.bincount((u >> np.uint64(57)).astype(np.int64), minlength=BINS)
                 bins.append(counts.astype(np.int8) if counts.max() < 128 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("node"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
                                               _lists(prefix), _lists(subsets), pa.array(bins, pa.list_(pa.int8()))],
-                                             ["id", "n", "hi", "lo", "prefix", "subsets", "bins"])
+                                             ["id", "node", "n", "hi", "lo", "prefix", "subsets", "bins"])
 
-    return rows.mapInArrow(run, "id long, n long, hi long, lo long, prefix array<long>, subsets array<long>, bins array<byte>")
+    return rows.mapInArrow(giving_back(run), "id long, node long, n long, hi long, lo long, prefix array<long>, subsets array<long>, bins array<byte>")
 
 
 def _similar(small, n1, n2, percent: int):
@@ -189,47 +199,52 @@ def _similar(small, n1, n2, percent: int):
     return 100 * small >= percent * (n1 + n2 - small)
 
 
-def _of(table: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``table`` whose id is in a pair; the table moves only if the ids are too many to be sent to every task."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "pair_ids")
-    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def _small(table: DataFrame) -> DataFrame:
+    """A written table of one or two longs a row, sent to every task if its counted rows allow."""
+    return F.broadcast(table) if table.count() <= BROADCAST_IDS else table
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     """Pairs (a, b) with the column of either side as ``x`` and ``y``."""
-    left, right = table.select(F.col("id").alias("a"), F.col(column).alias("x")), table.select(F.col("id").alias("b"), F.col(column).alias("y"))
+    left, right = table.select(F.col("node").alias("a"), F.col(column).alias("x")), table.select(F.col("node").alias("b"), F.col(column).alias("y"))
     return pairs.join(right, "b").join(left, "a")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The linked ones among candidate pairs (a, b), by their whole sets."""
+    """The linked ones among candidate pairs (a, b), by the whole sets of the texts that name them."""
 
     def whole(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(list(shingles(batch.column("text"), words)))], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists(list(shingles(batch.column("text"), words)))], ["node", "set"])
 
-    bins = cut(_of(classes.select("id", F.struct("n", "bins").alias("bins")), pairs), "pair_bins")
+    bins = cut(classes.select("node", "id", F.struct("n", "bins").alias("bins")).join(_small(cut(_ends(pairs), "pair_nodes")), "node", "left_semi"), "pair_bins")
     most = F.aggregate(F.zip_with("x.bins", "y.bins", lambda p, q: F.least(p, q).cast("long")), F.lit(0).cast("long"), lambda t, v: t + v)
     close = F.coalesce(_similar(most, F.col("x.n"), F.col("y.n"), percent), F.lit(True))
     pairs = cut(_both(pairs, bins, "bins").where(close).select("a", "b"), "close_pairs")
-    sets = cut(_of(rows, pairs).mapInArrow(whole, "id long, set array<long>").dropDuplicates(["id"]), "pair_sets")
+    named = cut(bins.select("id", "node").join(_ends(pairs), "node", "left_semi"), "pair_rows")
+    texts = rows.join(_small(named), ["id", "node"], "left_semi")
+    sets = cut(texts.mapInArrow(giving_back(whole), "node long, set array<long>").dropDuplicates(["node"]), "pair_sets")
     inside = F.size(F.array_intersect("x", "y"))
     return _both(pairs, sets, "set").where(_similar(inside, F.size("x"), F.size("y"), percent)).select("a", "b")
 
 
-def linked_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): rows (id, n, hi, lo) of every document, labels (hi, lo, component) of every class of equal sets."""
+def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links): sets (id, node, n, hi, lo, ...) of every row, classes (hi, lo, id, node, ...) of equal sets, links (a, b) between nodes."""
     rows = _rows(docs)
     frequent, light = measured(rows, words, percent)
     sets = cut(document_sets(rows, words, percent, frequent, light), "shingle_sets")
     classes = sets.where("n > 0").groupBy("hi", "lo").agg(
-        F.min("id").alias("id"), F.first("n").alias("n"), F.min_by(F.struct("prefix", "subsets", "bins"), "id").alias("lists"))
-    classes = cut(classes.select("hi", "lo", "id", "n", "lists.*"), "shingle_classes")
+        F.min(F.struct("id", "node")).alias("first"), F.first("n").alias("n"), F.min_by(F.struct("prefix", "subsets", "bins"), "id").alias("lists"))
+    classes = cut(classes.select("hi", "lo", "first.*", "n", "lists.*"), "shingle_classes")
 
-    entries = classes.select("id", "n", F.posexplode("prefix").alias("pos", "token")).union(
-        classes.select("id", "n", F.lit(-1), F.explode("subsets")))
+    entries = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token")).union(
+        classes.select("node", "n", F.lit(-1), F.explode("subsets")))
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    entries = cut(entries.join(shared, "token").select("token", "id", "n", "pos"), "list_entries")
+    entries = cut(entries.join(shared, "token").select("token", "node", "n", "pos"), "list_entries")
 
     def near(n1, p1, n2, p2):
         bound = F.least(n1 - F.greatest(p1, F.lit(0)), n2 - F.greatest(p2, F.lit(0)))
@@ -238,26 +253,26 @@ def linked_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # members of one list that are still apart; ``main`` is the largest component among them
     def apart(found: DataFrame | None, label: str) -> DataFrame:
         if found is None:
-            return entries.withColumn("component", F.col("id")).withColumn("main", F.lit(None).cast("long"))
-        labelled = entries.join(found, entries.id == found.node, "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("component"))
+            return entries.withColumn("component", F.col("node")).withColumn("main", F.lit(None).cast("long"))
+        labelled = entries.join(found, "node", "left").select("token", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
         split = labelled.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(
             F.max_by("component", F.struct("size", "component")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
         return cut(labelled.join(split.select("token", "main"), "token"), label)
 
-    def fresh(pairs: DataFrame, seen: DataFrame | None, label: str) -> DataFrame:
+    def unseen(pairs: DataFrame, seen: DataFrame | None, label: str) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return cut(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), label)
 
     seen = links = found = None
     for turn in range(ROUNDS):
         here = apart(found, "apart")
-        member, outside = F.struct("id", "n", "pos", "component"), F.coalesce(F.col("component") != F.col("main"), F.lit(True))
-        drawn = [F.min_by(F.when(where, member), F.when(where, F.xxhash64("token", "id", F.lit(f"{turn} {k}")))).alias(f"h{k}")
+        member, outside = F.struct("node", "n", "pos", "component"), F.coalesce(F.col("component") != F.col("main"), F.lit(True))
+        drawn = [F.min_by(F.when(where, member), F.when(where, F.xxhash64("token", "node", F.lit(f"{turn} {k}")))).alias(f"h{k}")
                  for k, where in enumerate([~outside] * (MAIN_HEADS if turn else 0) + [outside] * OTHER_HEADS)]
         heads = here.groupBy("token").agg(*drawn).select("token", F.explode(F.array([f"h{k}" for k in range(len(drawn))])).alias("head"))
         met = here.where(outside).join(heads, "token").where(
             (F.col("component") != F.col("head.component")) & near(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-        pairs = fresh(met.select(F.col("head.id").alias("a"), F.col("id").alias("b")), seen, "head_pairs")
+        pairs = unseen(met.select(F.col("head.node").alias("a"), F.col("node").alias("b")), seen, "head_pairs")
         more = cut(_verified(pairs, classes, rows, words, percent), "head_links")
         seen, links = (pairs, more) if seen is None else (seen.union(pairs), links.union(more))
         found = rough_components(links)
@@ -267,31 +282,59 @@ def linked_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     rest = one.join(other, (x("token") == y("token")) & (x("component") != y("component"))
                     & ((y("component") == y("main")) | (x("component") < y("component"))) & near(x("n"), x("pos"), y("n"), y("pos")))
-    rest = fresh(rest.select(x("id").alias("a"), y("id").alias("b")), seen, "other_pairs")
-    more = _verified(rest, classes, rows, words, percent)
-    final = components(links.union(more).toDF("src", "dst"))
-    labels = classes.join(final, classes.id == final.node, "left").select("hi", "lo", F.coalesce("component", "id").alias("component"))
-    return sets.select("id", "n", "hi", "lo"), labels
+    rest = unseen(rest.select(x("node").alias("a"), y("node").alias("b")), seen, "other_pairs")
+    return sets, classes, cut(links.union(_verified(rest, classes, rows, words, percent)), "set_links")
+
+
+def _labels(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(hi, lo, component, id) of every class: its component's smallest node, and the smallest id in the component."""
+    found = classes.select("hi", "lo", "node", "id").join(components(edges.toDF("src", "dst")), "node", "left")
+    found = cut(found.select("hi", "lo", "id", F.coalesce("component", "node").alias("component")), "class_components")
+    least = found.groupBy("component").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "least")
+    return found.join(least, "component", "left").select("hi", "lo", "component", F.coalesce("least", "id").alias("id"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of every row."""
-    rows, labels = linked_classes(docs, words, percent)
+    sets, classes, links = linked_pairs(docs, words, percent)
+    solid = sets.where("n > 0")
+    # the texts of one id are one document: its other classes are linked to its smallest
+    signed = F.struct("hi", "lo")
+    spread = solid.groupBy("id").agg(F.min(signed).alias("low"), F.max(signed).alias("high")).where("low <> high").select("id", "low")
+    same = solid.join(spread, "id").where(signed != F.col("low")).select("hi", "lo", "low").distinct()
+    same = cut(same.select("hi", "lo", F.col("low.hi").alias("low_hi"), F.col("low.lo").alias("low_lo")), "texts_of_one_id")
+    if not same.isEmpty():
+        at = classes.select("hi", "lo", "node")
+        links = links.union(same.join(at.toDF("low_hi", "low_lo", "src"), ["low_hi", "low_lo"]).join(at, ["hi", "lo"]).select("src", "node"))
     real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
-    return rows.join(labels, ["hi", "lo"], "left").select(
+    named = _labels(classes, links).select("hi", "lo", F.col("id").alias("component"))
+    return sets.select("id", "n", "hi", "lo").join(named, ["hi", "lo"], "left").select(
         real("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.coalesce(F.when(F.col("n") > 0, real("component")), real("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The document with the smallest id of each component; rows without words or without an id stay."""
-    found = cut(jaccard_components(docs, words, percent), "jaccard_components")
-    lost = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "lost_ids")
-    few = lost.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(lost) if few else lost, "doc_id", "left_anti").select(docs.columns)
-    often = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    often = cut(often.select("doc_id"), "repeated_ids")
+    """One row of each component: the smallest id (rows without one last), then the smallest text hash. Rows without words stay.
+
+    Rows are looked at one by one, so a row goes only if it is similar to (or chained to) the row that stays, whatever ids they have.
+    Of rows equal in id and text, the one with the smallest hash over all columns stays, so reruns agree.
+    """
+    sets, classes, links = linked_pairs(docs, words, percent)
+    rows = sets.where("n > 0").select("id", "node", "hi", "lo").join(_labels(classes, links).select("hi", "lo", "component"), ["hi", "lo"])
+    rows = cut(rows.select("id", "node", "component"), "row_components")
+    best = rows.groupBy("component").agg(F.min(F.struct("id", "node")).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    best = cut(best.select("component", "best.*"), "kept_rows")
+    lost = rows.join(best.select("component", F.col("id").alias("best_id"), F.col("node").alias("best_node")), "component").where(
+        "id <> best_id or node <> best_node").select("id", "node").distinct()
+    lost = cut(lost, "lost_rows")
+    own, key = fresh(docs.columns, "row_id"), fresh(docs.columns, "row_text")
+    named = docs.withColumn(own, _id()).withColumn(key, F.xxhash64("text"))
+    kept = named.join(_small(lost.toDF(own, key)), [own, key], "left_anti").select(named.columns)
+    often = rows.join(best, ["component", "id", "node"], "left_semi").groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = cut(often.select("id", "node").toDF(own, key), "repeated_rows")
     if often.isEmpty():
-        return kept
-    return kept.join(often, "doc_id", "left_anti").select(docs.columns).union(
-        kept.join(often, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return kept.select(docs.columns)
+    few = _small(often)
+    one = kept.join(few, [own, key], "left_semi").groupBy(own, key).agg(
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))).alias(own + "_row"))
+    return kept.join(few, [own, key], "left_anti").select(docs.columns).union(one.select(f"{own}_row.*"))

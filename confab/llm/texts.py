@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,6 +12,7 @@ from pyspark.sql import Column, SparkSession, functions as F
 from confab import session
 
 BATCH_ROWS = 128  # rows per Arrow batch: long texts must not meet in batches of ten thousand
+BATCH_BYTES = 4 << 20  # bytes after which an Arrow batch ends (a longer row is alone)
 SLICE_BYTES = 1 << 18  # bytes of text that one vectorised step looks at; its arrays take up to a hundred times as much
 
 
@@ -17,9 +20,30 @@ def configure(spark: SparkSession) -> SparkSession:
     """The library's settings, and small Arrow batches for text columns."""
     session.configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
+def giving_back(run):
+    """``run`` over batches; when a task ends, its worker returns freed memory to the system instead of holding it until the next stage."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    """Return freed Arrow and heap pages of this process."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column is called so (column names ignore case)."""
     taken = {c.lower() for c in columns}

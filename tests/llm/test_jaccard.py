@@ -59,6 +59,32 @@ def test_edges(spark):
     assert got == sorted(want, key=str)
     kept = jaccard.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, None, None], key=str)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 6, None], key=str)  # the wordless row without an id stays
     none = df.where(F.lit(False))
     assert jaccard.jaccard_components(none).count() == 0 and jaccard.keep_one(none).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    base = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    a, b = base("a"), base("b")
+    rows = [(1, a, "x"), (1, b, "x"), (2, a + " more", "x"), (3, b + " more", "x"), (4, base("c"), "x"), (5, base("d"), "p"), (5, base("d"), "q"), (None, base("d"), "r"),
+            (None, base("e"), "s"), (None, base("e"), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_id string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, 5), (None, None)}
+    for _ in range(2):
+        kept = [tuple(r) for r in jaccard.keep_one(df).collect()]
+        assert len(kept) == 5 and set(kept) - {rows[5], rows[6]} == {rows[0], rows[1], rows[4], rows[8]}
+
+
+def test_third_of_all_rows_equal(spark):
+    hot = " ".join(f"h{i}" for i in range(30))
+    rows = [(None if i % 5 == 0 else i // 2, hot if i % 3 == 0 else " ".join(f"r{i}x{j}" for j in range(12))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard.keep_one(df).collect()
+    assert sum(r.text == hot for r in kept) == 1 and len(kept) == 601
+    assert {r.doc_id for r in kept if r.text == hot} == {1}
+
+
+def test_boundary_is_bounded_by_heads():
+    assert max(jaccard.subset_count(jaccard.boundary(mean, jaccard.PERCENT), jaccard.PERCENT) for mean in (1, 7, 36, 340, 10 ** 6)) <= 14
