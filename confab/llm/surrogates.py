@@ -7,8 +7,12 @@ one. Surrogates keep the kind (card numbers keep issuer digit and check sum, add
 groups, letter case, number of digits), and for names the gender and script.
 
 All distinct entities of the corpus form one table in which collisions are settled: where two entities draw one surrogate, or a
-surrogate is itself an entity of the corpus, the later draws again with a higher round number, until every surrogate is its own. Once a
-person is named in a document, single mentions of the given or family name in it are replaced as well.
+surrogate is itself an entity of the corpus, the later draws again with a higher round number, until every surrogate is its own. A
+kind grows with its draws, so this ends for any number of entities: names take a syllable with every draw, and numbers a digit (network
+addresses the longer version of the protocol) once ``ROOM`` draws have failed. Once a person is named in a document, single mentions
+of the given or family name in it are replaced as well.
+
+The key is secret: it is given by the caller or read from the session's ``spark.confab.pseudonym.key``, and there is no default.
 
 Defined results: a null text stays null; a text without findings is unchanged; equal rows have equal results; a null id is treated as
 any other; columns are unchanged but for ``text``, and ``n_found`` (mentions replaced) is added (replaced if present); an empty table
@@ -17,12 +21,15 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from confab.llm.texts import fresh
 from confab.session import cut
 
-ROUNDS = 40
+KEY = "spark.confab.pseudonym.key"
+ROOM = 12  # draws in a kind's own format before it grows
 BROADCAST_MENTIONS = 1 << 19  # mentions, of some fifty bytes each, that may go to every task
 KINDS = {
     "email": r"(?<![A-Za-z0-9_%+.-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -39,6 +46,7 @@ TITLES = {"m": ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Don", "господи
           "n": ("Dr", "Prof", "Professor")}
 GIVEN = {"f": ("Anna", "Maria", "Sarah", "Laura", "Emma", "Julia", "Claire", "Sophie", "Carmen", "Lucía", "Ingrid", "Heike", "Анна", "Мария", "Ольга", "Елена", "Μαρία"),
          "m": ("John", "James", "Peter", "Michael", "Thomas", "David", "Pierre", "Jean", "Carlos", "José", "Hans", "Jürgen", "Иван", "Сергей", "Дмитрий", "Γιώργος")}
+DNI_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"  # check letter by the number modulo 23
 # syllables and endings from which names are made, by script
 SYLLABLES = {
     "latin": ("ba", "be", "bri", "ca", "ce", "da", "de", "el", "fa", "fe", "ga", "ha", "he", "jo", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "ni", "ra", "ri", "ro", "sa", "ta", "vi"),
@@ -73,6 +81,13 @@ def luhn_rest(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda a, v: a + v) % 10
 
 
+def iban_rest(text: Column) -> Column:
+    """An IBAN's letters and digits as one number modulo 97 (letters are 10 to 35, the first four characters come last); 1 for a right one."""
+    turned = F.split(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4)), "")
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.transform(turned, value), F.lit(0), lambda a, v: (a * F.when(v > 9, 100).otherwise(10) + v) % 97)
+
+
 def kind_of(mention: Column) -> Column:
     kind = F.lit("name")
     for k, pattern in reversed(KINDS.items()):
@@ -113,7 +128,12 @@ def mentions(rows: DataFrame) -> DataFrame:
 
 
 def _digest(key: str, kind: Column, canon: Column, draw: Column, part: str) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canon, draw.cast("string"), F.lit(part)), 256)
+    """HMAC-SHA-256 of an entity and its draw, as hex digits."""
+    block = key.encode()
+    block = (hashlib.sha256(block).digest() if len(block) > 64 else block).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in block)) for pad in (0x36, 0x5C))
+    message = F.concat_ws("\x1f", kind, canon, draw.cast("string"), F.lit(part)).cast("binary")
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message), 256))), 256)
 
 
 def _number(digest: Column, i: int) -> Column:
@@ -137,21 +157,28 @@ def surrogate(key: str, kind: Column, canon: Column, draw: Column) -> Column:
     """Surrogate of a canonical form; draw 0 is the first."""
     d = _digest(key, kind, canon, draw, "a")
     drawn = _like(canon, d)
+    surplus = F.substring(F.conv(F.substring(d, 40, 14), 16, 10), F.lit(1), F.floor(draw / ROOM).cast("int"))  # a digit more for every ROOM draws
     body = F.concat(F.substring(canon, 1, 1), F.substring(drawn, F.lit(2), F.length(canon) - 2))
+    body = F.concat(body, surplus)
     card = F.concat(body, ((10 - luhn_rest(F.concat(body, F.lit("0")))) % 10).cast("string"))
-    phone = F.concat(F.substring(canon, F.lit(1), F.length(canon) - 9), F.substring(drawn, F.length(canon) - 8, F.lit(9)))
-    octets = [(_number(d, i) % 254 + 1).cast("string") for i in range(4)]
+    fixed = F.greatest(F.length(canon) - 9, F.lit(0))  # leading digits (country, area) that stay
+    phone = F.concat(F.substring(canon, F.lit(1), fixed), F.substring(drawn, fixed + 1, F.lit(9)), surplus)
+    octets = F.concat_ws(".", *[(_number(d, i) % 254 + 1).cast("string") for i in range(4)])
+    address = F.when(draw < ROOM, octets).otherwise(F.concat_ws(":", F.lit("2001:db8"), *[F.substring(d, 1 + 4 * i, 4) for i in range(6)]))
     at = F.locate("@", canon)
     mail = F.concat(F.substring(drawn, F.lit(1), at), F.lit("m"), F.substring(d, 50, 4), F.lit(".example."), F.substring_index(canon, ".", -1))
-    iban = F.concat(F.substring(canon, 1, 2), F.substring(drawn, F.lit(3), F.length(canon)))
+    account = F.concat(F.substring(drawn, F.lit(5), F.length(canon)), surplus)
+    iban = F.concat(F.substring(canon, 1, 2), F.lpad((98 - iban_rest(F.concat(F.substring(canon, 1, 2), F.lit("00"), account))).cast("string"), 2, "0"), account)
+    number = F.concat(F.substring(drawn, 1, 8), surplus)
+    dni = F.concat(number, F.substring(F.lit(DNI_LETTERS), (number.cast("long") % 23 + 1).cast("int"), F.lit(1)))
     secret = F.substring(F.concat(d, _digest(key, kind, canon, draw, "b")), F.lit(1), F.length(canon))
     name = F.lit(None).cast("string")
     for script in SYLLABLES:
         for role, endings in ENDINGS[script].items():
             middle = F.array_join(F.transform(F.sequence(F.lit(0), draw.cast("int") + 1), lambda i: _pick(SYLLABLES[script], F.conv(F.substring(d, (i * 3 % 60 + 1).cast("int"), 3), 16, 10).cast("long"))), "")
             name = F.when(kind == f"name {role} {script}", F.concat(middle, _pick(endings, _number(d, 8)))).otherwise(name)
-    return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", F.concat_ws(".", *octets)).when(kind == "email", mail).when(
-        kind == "iban", iban).when(kind == "secret", secret).when(kind.isin("ssn", "dni"), drawn).otherwise(name)
+    return F.when(kind == "card", card).when(kind == "phone", phone).when(kind == "ip", address).when(kind == "email", mail).when(
+        kind == "iban", iban).when(kind == "secret", secret).when(kind == "ssn", F.concat(drawn, surplus)).when(kind == "dni", dni).otherwise(name)
 
 
 def _group(kind: Column) -> Column:
@@ -165,7 +192,7 @@ def entity_table(found: DataFrame, key: str) -> DataFrame:
     # the smallest kind names a word that occurs in several roles: f before m, n and s
     table = cut(found.groupBy(grp, "canon").agg(F.min("kind").alias("kind")).withColumn("draw", F.lit(0)).withColumn(
         "surrogate", surrogate(key, F.col("kind"), F.col("canon"), F.lit(0))), "entities")
-    for _ in range(ROUNDS):
+    while True:
         nth = F.row_number().over(Window.partitionBy("grp", "surrogate").orderBy("draw", "canon"))
         real = table.select(F.col("grp").alias("g"), F.col("canon").alias("c"))
         marked = table.withColumn("nth", nth).join(real, (F.col("grp") == F.col("g")) & (F.col("surrogate") == F.col("c")), "left")
@@ -175,8 +202,6 @@ def entity_table(found: DataFrame, key: str) -> DataFrame:
         again = F.col("draw") + F.when(F.col("clash"), 1).otherwise(0)
         table = marked.select("grp", "canon", "kind", again.alias("draw"), "surrogate", "clash").withColumn(
             "surrogate", F.when(F.col("clash"), surrogate(key, F.col("kind"), F.col("canon"), F.col("draw"))).otherwise(F.col("surrogate"))).drop("clash")
-    raise ValueError(f"surrogates still collide after {ROUNDS} draws: the kind's space is too small for its entities")
-
 
 def dressed(kind: Column, mention: Column, made: Column) -> Column:
     """The surrogate in the format of a mention."""
@@ -185,6 +210,9 @@ def dressed(kind: Column, mention: Column, made: Column) -> Column:
     spaced = lambda i: F.length(F.replace(F.substring(mention, F.lit(1), i), F.lit(" "), F.lit("")))
     iban = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substring(made, spaced(i) + 1, F.lit(1)))), "")
     cased = F.when(mention == F.upper(mention), F.upper(made)).when(mention.rlike(r"\A\p{Lu}"), F.initcap(made)).otherwise(made)
+    rest = lambda used: F.substring(made, used + 1, F.length(made))  # noqa: E731  (what a grown surrogate has more)
+    grouped = F.concat(grouped, rest(F.length(_digits(mention))))
+    iban = F.concat(iban, rest(F.length(F.replace(mention, F.lit(" "), F.lit("")))))
     return F.when(kind.isin("phone", "ssn", "card"), grouped).when(kind == "iban", iban).when(kind.startswith("name"), cased).when(
         (kind == "email") & (mention == F.upper(mention)), F.upper(made)).when(kind == "dni", F.upper(made)).otherwise(made)
 
@@ -203,8 +231,11 @@ def replacements(docs: DataFrame, key: str) -> DataFrame:
     return whole.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list("pair")).alias("swaps"))
 
 
-def pseudonymise(docs: DataFrame, key: str = "confab") -> DataFrame:
-    """``docs`` with surrogates in ``text`` and the number of replaced mentions in ``n_found``."""
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text`` and the number of replaced mentions in ``n_found``; ``key`` comes from the session if not given."""
+    key = key or docs.sparkSession.conf.get(KEY, None)
+    if not key:
+        raise ValueError(f"surrogates need a secret key: give one, or set {KEY}")
     keep = [c for c in docs.columns if c.lower() != "n_found"]
     tk, own, own_key, swaps, ents = (fresh(docs.columns, c) for c in ("text_key", "of_doc", "of_key", "swaps", "found_parts"))
     maps = cut(replacements(docs, key), "swaps")
@@ -220,9 +251,9 @@ def pseudonymise(docs: DataFrame, key: str = "confab") -> DataFrame:
     return parts.select(*[(text if c == "text" else F.col(f"`{c}`")).alias(c) for c in keep], F.when(F.col(swaps).isNull(), 0).otherwise(count).cast("long").alias("n_found"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, key: str | None = None) -> DataFrame:
     """doc_id, text with surrogates, and n_found of every document."""
-    return pseudonymise(docs.select("doc_id", "text"))
+    return pseudonymise(docs.select("doc_id", "text"), key)
 
 
 
