@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +89,14 @@ def slices(arr, most: int = SLICE_BYTES):
         yield arr.slice(start)
 
 
-def byte_table(word: str) -> np.ndarray:
-    """Byte map for splitting: A-Z fall to a-z, bytes outside the word class become a space.
+def byte_table(word: str, fold: bool = True) -> np.ndarray:
+    """Byte map for splitting: A-Z fall to a-z unless ``fold`` is false, bytes outside the word class become a space.
 
     ``word`` is ``"alnum"`` (digits, letters, everything from byte 128) or ``"black"`` (all but ASCII white space).
     """
     t = np.arange(256, dtype=np.uint8)
-    t[65:91] += 32
+    if fold:
+        t[65:91] += 32
     for b in range(128):
         c = chr(b)
         keep = c.isalnum() if word == "alnum" else not (b == 32 or 9 <= b <= 13)
@@ -103,6 +105,23 @@ def byte_table(word: str) -> np.ndarray:
     return t
 
 
+def black_words(arr) -> tuple[pa.Array, np.ndarray]:
+    """(all words between ASCII white space in order, number of words of each text); words are unchanged, nulls have none."""
+    split = pc.ascii_split_whitespace(pc.fill_null(arr.cast(pa.large_string()), ""))
+    words, at = split.flatten(), split.offsets.to_numpy()
+    solid = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # pieces before a first or after a last space are empty
+    total = np.concatenate([[0], np.cumsum(solid)])
+    return words.filter(pa.array(solid)), np.diff(total[at - at[0]])
+
+
+def joined_digests(words: pa.Array, counts: np.ndarray, keep: np.ndarray) -> list[str]:
+    """SHA-256 of the kept words of every text, joined by one space."""
+    kept = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], np.cumsum(counts)])]
+    lists = pa.LargeListArray.from_arrays(pa.array(kept, pa.int64()), words.filter(pa.array(keep)))
+    off, data = flat(pc.binary_join(lists, pa.scalar(" ", pa.large_string())))
+    return [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
 _POWERS = np.cumprod(np.full(256, np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64), dtype=np.uint64)
 _BYTES = None
 
@@ -142,6 +161,7 @@ def word_hashes(off: np.ndarray, data: np.ndarray, table: np.ndarray) -> tuple[n
         x, solid = x[starts[0]:], solid[starts[0]:]
     power = _POWERS[nth & 255]
     if len(nth) and nth.max() > 255:  # words longer than the table go on with other powers
-        power = power * mix((nth >> 8).astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        far = (nth >> 8).astype(np.uint64)
+        power = power * np.where(far > 0, mix(far) | np.uint64(1), np.uint64(1))  # other words keep their hash whatever stands beside them
     values = np.where(solid, _byte_values()[x] * power, np.uint64(0))
     return mix(np.add.reduceat(values, starts - starts[0])), counts
