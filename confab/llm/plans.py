@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from confab.llm import ann, chat, decontam, jaccard, langid, line_dedup, mixing, quality, sharding, surrogates
+from confab.llm import ann, chat, decontam, jaccard, langid, line_dedup, mixing, quality, runs, sharding, substrings, surrogates, whitening
 from confab.llm.texts import configure
 from confab.sources.tables import read
 
@@ -91,6 +91,24 @@ def op10_decontamination(spark, sf_dir):
     return decontam.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    """Every usable vector on the leading components of the covariance weighted by multiplicity."""
+    return whitening.report(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, sf_dir):
+    """Periodic runs of words in every document, and its text without their repetitions."""
+    return runs.report(read(spark, sf_dir, "documents"))
+
+
+@query("op13_substring_dedup")
+def op13_substring_dedup(spark, sf_dir):
+    """All documents without words of passages that occur elsewhere."""
+    return substrings.report(read(spark, sf_dir, "documents"))
+
+
 def line_passages(spark, sf_dir):
     """Documents without runs of lines that occur earlier, short ones and the edges of long ones too."""
     return line_dedup.report_passages(read(configure(spark), sf_dir, "documents"))
