@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from confab.functions.vectors import clip, dot, norm, unit
@@ -19,6 +23,7 @@ LIVE_CAP = 48
 SHORTEST_MS = 1_300
 TWO_SAMPLE_COHERENCE = 0.90
 LEADERS = 4_096
+PIVOTS, PAIR_BLOCK = 8, 1_024  # vectors from which angles are taken; profiles of a block
 OBS = ["project_id", "cluster"]
 
 
@@ -349,22 +354,90 @@ def compare_profiles(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
                     threshold.alias("threshold"), verdict.alias("verdict"))
 
 
+def similar_profiles(profiles: DataFrame, threshold: float | None = None, pivots: int = PIVOTS, block: int = PAIR_BLOCK) -> tuple[DataFrame, dict[str, int]]:
+    """(pairs, report): all pairs source_id < target_id of profiles whose similarity reaches the threshold, and how many block pairs were looked at.
+
+    The threshold of a pair is ``threshold``, or the greater one of the two profiles'. Vectors of one width are compared. Angles obey
+    the triangle inequality, so two profiles whose angles to some pivot differ by more than the widest allowed angle cannot be similar.
+    Profiles are put into blocks by nearest pivot and angle to it; a block knows the least and greatest angle to every pivot, and a pair of blocks
+    that is too far apart at any pivot is never multiplied. Pivots are some of the profiles themselves; any choice gives the same pairs.
+    """
+    p = profiles.where(F.col("centroid").isNotNull() & (F.size("centroid") > 0)).select(
+        "profile_id", F.col("match_threshold").alias("own"), unit("centroid").alias("v"), F.size("centroid").alias("width"))
+    p = cut(p.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))), "unit_profiles")
+    least = p.agg(F.min(F.lit(threshold) if threshold is not None else F.col("own"))).first()[0]
+    schema = "source_id long, target_id long, similarity double, threshold double"
+    if least is None:
+        return p.sparkSession.createDataFrame([], schema), {"blocks": 0, "pairs": 0, "kept": 0}
+    widest = math.acos(max(-1.0, min(1.0, least))) + 1e-9
+    chosen = p.withColumn("nth", F.row_number().over(W.partitionBy("width").orderBy(F.xxhash64("profile_id"), "profile_id"))).where(F.col("nth") <= pivots)
+    chosen = chosen.groupBy("width").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "v"))), lambda x: x["v"]).alias("pivots"))  # at most ``pivots`` vectors a width
+    angles = F.transform("pivots", lambda q: F.acos(clip(dot("v", q), -1.0, 1.0)))
+    p = p.join(F.broadcast(chosen), "width").withColumn("angles", angles).drop("pivots")
+    home = F.array_position("angles", F.array_min("angles")) - 1
+    p = cut(p.withColumn("home", home).withColumn("ring", F.floor(F.array_min("angles") / (widest / 4))), "pivot_angles")
+    cells = p.groupBy("width", "home", "ring").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    p = p.join(cells, ["width", "home", "ring"]).withColumn("part", F.pmod(F.xxhash64("profile_id", F.lit("part")), "parts"))
+    p = cut(p.withColumn("block", F.struct("width", "home", "ring", "part")).select("profile_id", "own", "v", "angles", "block"), "profile_blocks")
+    size = p.agg(F.max(F.size("angles"))).first()[0]
+    get = lambda i: F.get("angles", F.lit(i))
+    stats = cut(p.groupBy("block").agg(F.array(*[F.min(get(i)) for i in range(size)]).alias("lo"), F.array(*[F.max(get(i)) for i in range(size)]).alias("hi")), "block_angles")
+    # blocks meet in bins of the widest angle at the first pivot: a similar pair's blocks share a bin or touch
+    bins = F.explode(F.sequence(F.floor(F.get("lo", F.lit(0)) / widest).cast("int") - 1, F.floor(F.get("hi", F.lit(0)) / widest).cast("int") + 1))
+    left = stats.select(F.col("block").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), bins.alias("bin"))
+    right = left.toDF("b", "blo", "bhi", "bin")
+    near = F.forall(F.arrays_zip("alo", "ahi", "blo", "bhi"), lambda x: x["alo"].isNull() | (
+        (x["alo"] - x["bhi"] <= widest) & (x["blo"] - x["ahi"] <= widest)))
+    met = left.join(right, "bin").where((F.col("a.width") == F.col("b.width")) & (F.col("a") <= F.col("b")) & near).select("a", "b").distinct()
+    met = cut(met.withColumn("pair", F.struct("a", "b")), "block_pairs")
+    sides = met.select("pair", (F.col("a") == F.col("b")).alias("same"), F.explode(F.array(
+        F.struct(F.col("a").alias("block"), F.lit(0).alias("side")), F.struct(F.col("b").alias("block"), F.lit(1).alias("side")))).alias("s"))
+    rows = sides.select("pair", "same", "s.*").join(p.select("block", "profile_id", "own", "v"), "block").select("pair", "same", "side", "profile_id", "own", "v")
+
+    def multiply(table: pa.Table) -> pa.Table:
+        sides = [table.filter(pc.equal(table.column("side"), k)) for k in (0, 1)]
+        one, other = (np.array(t.column("v").to_pylist()) for t in sides)
+        (x, y), (p, q) = ([t.column(c).to_numpy() for t in sides] for c in ("profile_id", "own"))
+        product = np.clip(one @ other.T, -1.0, 1.0)
+        limit = np.maximum(p[:, None], q[None, :]) if threshold is None else np.full(product.shape, threshold)
+        once = x[:, None] < y[None, :] if table.column("same")[0].as_py() else x[:, None] != y[None, :]
+        i, j = np.nonzero((product >= limit) & once)
+        return pa.table([pa.array(c) for c in (np.minimum(x[i], y[j]), np.maximum(x[i], y[j]), product[i, j], limit[i, j])],
+                        names=["source_id", "target_id", "similarity", "threshold"])
+
+    n = stats.count()
+    pairs = rows.groupBy("pair").applyInArrow(multiply, schema)  # at most two blocks
+    return pairs, {"blocks": n, "pairs": n * (n + 1) // 2, "kept": met.count()}
+
+
 def merge_roots(pairs: DataFrame) -> DataFrame:
-    """(source_id, root_id): chains a->b, b->c resolved by repeated doubling."""
-    roots = cut(pairs.select("source_id", F.col("target_id").alias("root_id")), "roots")
+    """(source_id, root_id, cycle): the end of every merge chain; of a cycle a->b->a the smallest member, with ``cycle`` true.
+
+    Chains are followed by doubling, the least profile on the way with them. After as many doublings as give a way longer than the number of
+    sources, only ways that run in circles still go on: their end lies on the circle, and the least profile on the way from there is the
+    circle's. A source with several targets takes the smallest; a pair of a profile with itself says nothing.
+    """
+    steps = pairs.where("source_id <> target_id").groupBy("source_id").agg(F.min("target_id").alias("at"))
+    state = cut(steps.select("source_id", "at", F.col("at").alias("least"), F.lit(True).alias("open")), "roots")
+    way, n = 1, state.count()
     while True:
-        nxt = roots.select(F.col("source_id").alias("root_id"), F.col("root_id").alias("further"))
-        j = roots.join(nxt, "root_id", "left").select("source_id", F.coalesce("further", "root_id").alias("root_id"),
-                                                      F.col("further").isNotNull().alias("moved"))
-        j = cut(j, "roots")
-        if j.where("moved").isEmpty():
-            return j.drop("moved")
-        roots = j.drop("moved")
+        further = state.select(F.col("source_id").alias("at"), F.col("at").alias("next"), F.col("least").alias("next_least"))
+        j = state.join(further, "at", "left")
+        state = cut(j.select("source_id", F.coalesce("next", "at").alias("at"), F.least("least", "next_least").alias("least"),  # least() skips a missing side
+                             F.col("next").isNotNull().alias("open")), "roots")
+        way *= 2
+        if way > n or state.where("open").isEmpty():
+            break
+    circle = state.where("open")
+    ends = state.select(F.col("source_id").alias("at"), F.col("least").alias("root_id"))
+    circled = circle.join(ends, "at").select("source_id", "root_id", F.lit(True).alias("cycle"))
+    straight = state.where("not open").select("source_id", F.col("at").alias("root_id"), F.lit(False).alias("cycle"))
+    return cut(straight.unionByName(circled).where("source_id <> root_id"), "roots")
 
 
 def merge_profiles(pairs: DataFrame, profiles: DataFrame, samples: DataFrame, segments: DataFrame) -> dict[str, DataFrame]:
     """Merge source into target profiles: new profiles, samples and segments tables, and a report."""
-    roots = merge_roots(pairs)
+    roots = merge_roots(pairs).drop("cycle")
     to = roots.select(F.col("source_id").alias("profile_id"), "root_id")
     moved = samples.join(to, "profile_id", "left").withColumn("moved", F.col("root_id").isNotNull()).withColumn(
         "profile_id", F.coalesce("root_id", "profile_id")).drop("root_id")

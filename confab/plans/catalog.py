@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from confab.operators import catalog as cat
 from confab.plans.registry import CTES, query, sql
 from confab.plans.text import TEXT_REVIEW
+from confab.session import cut, scratch_path
 from confab.sources import media, tables
 
 
@@ -83,7 +84,7 @@ def delete_projects(spark, sf):
     return gone.unionByName(rest.select("project_id", F.lit("left_segments").alias("table"), "deleted"))
 
 
-@query("upsert_segments", sql("projects", f"""
+UPSERTED = sql("projects", f"""
     WITH cur AS (SELECT project_id, segment_id, segment_order, text FROM segments),
     inc AS (SELECT project_id, segment_id, segment_order, 'U' || turn || ' ' || text AS text, turn AS seq,
                    status='transcribing' AND turn=1 AS rep FROM segments JOIN projects USING (project_id) WHERE {TEXT_REVIEW}),
@@ -91,8 +92,10 @@ def delete_projects(spark, sf):
     al AS (SELECT c.*, -1 AS seq FROM cur c LEFT JOIN since USING (project_id) WHERE since IS NULL
            UNION ALL SELECT i.* EXCLUDE (rep) FROM inc i JOIN since USING (project_id) WHERE seq>=coalesce(since,seq))
     SELECT project_id, segment_id, segment_order, text FROM al
-    QUALIFY row_number() OVER (PARTITION BY project_id, segment_id ORDER BY seq DESC)=1"""))
-def upsert_segments(spark, sf):
+    QUALIFY row_number() OVER (PARTITION BY project_id, segment_id ORDER BY seq DESC)=1""")
+
+
+def reviewed_changes(spark, sf):
     """Reviewed texts arrive per turn; unfinished projects are replaced from their second turn on."""
     from confab.functions import review
 
@@ -100,8 +103,25 @@ def upsert_segments(spark, sf):
     open_ = tables.projects(spark, sf, s).select("project_id", "status")
     inc = s.where(review.needs_text_review()).join(open_, "project_id").select(
         "project_id", "segment_id", "segment_order", F.concat(F.lit("U"), "turn", F.lit(" "), "text").alias("text"),
-        F.col("turn").alias("seq"), ((F.col("status") == "transcribing") & (F.col("turn") == 1)).alias("replace_existing"))
-    return cat.upsert_segments(s.select("project_id", "segment_id", "segment_order", "text"), inc)
+        F.col("turn").cast("long").alias("seq"), ((F.col("status") == "transcribing") & (F.col("turn") == 1)).alias("replace_existing"))
+    return s.select("project_id", "segment_id", "segment_order", "text"), inc
+
+
+@query("upsert_segments", UPSERTED)
+def upsert_segments(spark, sf):
+    return cat.upsert_segments(*reviewed_changes(spark, sf))
+
+
+@query("upsert_segments_stream", UPSERTED)
+def upsert_segments_stream(spark, sf):
+    """The same changes as a stream of five micro-batches."""
+    from confab.streaming import changes
+    from confab.streaming.runner import in_batches
+
+    base, inc = reviewed_changes(spark, sf)
+    path = scratch_path(spark, "upserts")
+    changes.write_upserts(in_batches(cut(inc, "changes"), F.least(F.lit(4), F.col("seq")), 5, "changes"), f"{path}/table", f"{path}/state")
+    return changes.upserted(spark, f"{path}/table", base)
 
 
 @query("keep_versions", """

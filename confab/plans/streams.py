@@ -8,8 +8,8 @@ from confab.plans.registry import CTES, query, sql
 from confab.plans.sequence import PARAGRAPHS
 from confab.session import cut, scratch_path
 from confab.sources import tables
-from confab.streaming import jobs, live, recording
-from confab.streaming.runner import drain, drain_updates, stream_of
+from confab.streaming import changes, jobs, live, recording
+from confab.streaming.runner import drain, drain_updates, in_batches, keyed_state, stream_of
 
 
 def chunks(df):
@@ -46,6 +46,42 @@ def validate_chunks(spark, sf):
     return out.select("session_id", F.abs("chunk_id").alias("chunk_id"), "status")
 
 
+CTES["arrivals"] = ((), """
+    SELECT user_id AS session_id, event_id AS chunk_id, event_id*1000-((event_id*7919)%13)*40000*((event_id%5=0)::INT) AS ts_ms, 800+(event_id*37)%4000 AS samples,
+      CASE WHEN event_id%17=1 THEN 'bad_size' ELSE 'ok' END AS status, event_id*4+again*(SELECT count(*) FROM events)+again AS arrival
+    FROM events, (SELECT unnest([0,1]) AS again) WHERE again=0 OR event_id%3=0""")
+VERDICTS = """
+    WITH n AS (SELECT *, max(CASE WHEN status='ok' THEN ts_ms END) OVER (PARTITION BY session_id ORDER BY arrival) AS newest FROM arrivals),
+    l AS (SELECT *, CASE WHEN status<>'ok' THEN status WHEN ts_ms<newest-300000 THEN 'late' ELSE 'ok' END AS v FROM n),
+    d AS (SELECT *, CASE WHEN v='ok' AND row_number() OVER (PARTITION BY session_id, chunk_id, v ORDER BY arrival)>1 THEN 'duplicate' ELSE v END AS verdict FROM l)
+    SELECT session_id, arrival, chunk_id, verdict, verdict='duplicate' AS duplicate,
+      CAST(round_even(sum(CASE WHEN verdict='ok' THEN samples ELSE 0 END) OVER (PARTITION BY session_id ORDER BY arrival)/16,0) AS BIGINT) AS duration_ms FROM d"""
+
+
+def arrivals(spark, sf):
+    """Every third chunk arrives again, much later; some chunks are old, some refused."""
+    e = tables.read(spark, sf, "events").select("event_id", "user_id")
+    n, i = e.count(), F.col("event_id")
+    old = F.when(i % 5 == 0, (i * 7919) % 13 * 40_000).otherwise(0)
+    again = e.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).where((F.col("again") == 0) | (i % 3 == 0))
+    return n, again.select(
+        F.col("user_id").alias("session_id"), i.alias("chunk_id"), (i * 1000 - old).alias("ts_ms"), (800 + (i * 37) % 4000).cast("long").alias("samples"),
+        F.when(i % 17 == 1, "bad_size").otherwise("ok").alias("status"), (i * 4 + F.col("again") * n + F.col("again")).cast("long").alias("arrival"))
+
+
+@query("ingest_verdicts", sql("arrivals", VERDICTS))
+def ingest_verdicts(spark, sf):
+    """One answer per chunk over six micro-batches, most repeats in a later one than their chunk."""
+    n, a = arrivals(spark, sf)
+    with keyed_state(spark):
+        return drain(recording.chunk_verdicts(in_batches(a, F.least(F.lit(5), F.floor(F.col("arrival") * 6 / (5 * n))), 6, "arrivals"), 300_000, None))
+
+
+@query("ingest_verdicts_batch", sql("arrivals", VERDICTS))
+def ingest_verdicts_batch(spark, sf):
+    return recording.chunk_verdicts_batch(arrivals(spark, sf)[1], 300_000)
+
+
 GATE = """
     SELECT session_id, chunk_id, CAST(round_even((e-samples)/16,0) AS BIGINT) AS offset_ms, CAST(round_even(e/16,0) AS BIGINT) AS duration_ms
     FROM (SELECT *, CAST(sum(samples) OVER (PARTITION BY session_id ORDER BY chunk_id) AS BIGINT) AS e FROM chunks) WHERE rms>=0.0015"""
@@ -220,6 +256,16 @@ def relabel_provisional(spark, sf):
     return live.relabelled(live.online_identify_batch(u, tables.voice_profiles(spark, sf)))
 
 
+@query("relabel_stream")
+def relabel_stream(spark, sf):
+    """The rows of ``relabel_provisional`` from a stream: units come in five micro-batches, late names re-emit earlier units."""
+    u = cut(live_units(tables.voice_samples(spark, sf)), "live")
+    part = F.least(F.lit(4), F.floor(F.col("unit_id") * 5 / (u.agg(F.max("unit_id")).first()[0] + 1)))
+    path = scratch_path(spark, "names")
+    changes.write_names(live.online_identify(in_batches(u, part, 5, "units"), tables.voice_profiles(spark, sf), idle_ms=None), f"{path}/table", f"{path}/state")
+    return changes.named_units(spark, f"{path}/table")
+
+
 @query("close_session", sql("ordered", PARAGRAPHS.replace("42000", "35000").replace("620", "520")))
 def close_session(spark, sf):
     """Paragraphs of a finished live session use tighter limits; voices are voted on separately."""

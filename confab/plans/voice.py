@@ -383,6 +383,15 @@ def compare_profiles(spark, sf):
     return vm.compare_profiles(pairs, p).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("similar_profiles", sql("samples", """
+    SELECT a.sample_id AS source_id, b.sample_id AS target_id, round(list_inner_product(a.embedding,b.embedding),6) AS similarity, CAST(0.9 AS DOUBLE) AS threshold
+    FROM samples a JOIN samples b ON a.sample_id<b.sample_id WHERE list_inner_product(a.embedding,b.embedding)>=0.9"""))
+def similar_profiles(spark, sf):
+    """Every voice sample taken as a profile of its own, against all others."""
+    p = tables.voice_samples(spark, sf).select(F.col("sample_id").alias("profile_id"), F.col("embedding").alias("centroid"), F.lit(0.9).alias("match_threshold"))
+    return vm.similar_profiles(p)[0].withColumn("similarity", F.round("similarity", 6))
+
+
 CTES["roots"] = (("profiles",), """
     SELECT profile_id AS source_id, CASE WHEN profile_id IN (7,8) THEN 9 ELSE 2 END AS root_id FROM profiles WHERE profile_id IN (7,8,4,3)""")
 

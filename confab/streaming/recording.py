@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from confab.operators.blocks import Scan, running
+
 MAX_CHUNK_BYTES = 960_000
 SAMPLES_PER_MS = 16
 SPEECH_RMS = 0.012
@@ -54,6 +57,89 @@ def ingest_chunks(chunks: DataFrame, watermark: str = "10 minutes") -> DataFrame
         F.bround(total / SAMPLES_PER_MS).cast("long").alias("duration_ms"))
 
 
+VERDICT = "session_id long, arrival long, chunk_id long, verdict string, duplicate boolean, duration_ms long"
+
+
+def _verdict_rows(key, g: pd.DataFrame, verdicts: list[str], samples: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"session_id": key, "arrival": g["arrival"], "chunk_id": g["chunk_id"], "verdict": verdicts,
+                         "duplicate": [v == "duplicate" for v in verdicts], "duration_ms": [round(n / SAMPLES_PER_MS) for n in samples]})
+
+
+class Ingest(StatefulProcessor):
+    """One session: the chunks taken within ``late_ms`` of the newest, and the samples so far; forgotten by a timer after ``idle_ms`` without a chunk."""
+
+    def __init__(self, late_ms: int, idle_ms: int | None):
+        self.late_ms, self.idle_ms = late_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.taken = handle.getMapState("taken", "chunk_id long", "ts_ms long")
+        self.total = handle.getValueState("total", "samples long, newest long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        g = pd.concat(list(rows), ignore_index=True).sort_values("arrival", kind="stable")
+        samples, newest = self.total.get() if self.total.exists() else (0, -(1 << 62))
+        taken = {k[0]: v[0] for k, v in self.taken.iterator()}
+        before, verdicts, totals = set(taken), [], []
+        for chunk, ts, size, status in zip(g["chunk_id"], g["ts_ms"], g["samples"], g["status"]):
+            if status == "ok":
+                newest = max(newest, int(ts))
+                status = "late" if ts < newest - self.late_ms else "duplicate" if chunk in taken else "ok"
+                if status == "ok":
+                    taken[int(chunk)] = int(ts)
+                    samples += int(size)
+            verdicts.append(status)
+            totals.append(samples)
+        kept = {c: t for c, t in taken.items() if t >= newest - self.late_ms}  # a repeat of any other chunk is late itself
+        for chunk in before - set(kept):
+            self.taken.removeKey((chunk,))
+        for chunk in set(kept) - before:
+            self.taken.updateValue((chunk,), (kept[chunk],))
+        self.total.update((samples, newest))
+        if self.idle_ms is not None:
+            for timer_ms in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer_ms)
+            self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs() + 1) + self.idle_ms)
+        yield _verdict_rows(key[0], g, verdicts, totals)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.taken.clear()
+        self.total.clear()
+        yield pd.DataFrame(columns=[c.split()[0] for c in VERDICT.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def chunk_verdicts(chunks: DataFrame, late_ms: int = IDLE_MS, idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
+    """Stream of one answer per chunk: its verdict (ok, duplicate, late or why it is refused) and the time recorded so far.
+
+    ``chunks``: session_id, arrival (order), chunk_id, ts_ms (a repeat keeps its chunk's), samples, status (of :func:`chunk_status`).
+    A chunk more than ``late_ms`` behind the newest one of its session is late, so no older ids have to be known. With ``idle_ms`` a
+    session is forgotten once event time has passed its newest chunk by that much (chunks further behind the whole stream get no answer).
+    """
+    if idle_ms is not None:
+        chunks = chunks.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", f"{idle_ms} milliseconds")
+    return chunks.groupBy("session_id").transformWithStateInPandas(
+        Ingest(late_ms, idle_ms), VERDICT, "Append", "None" if idle_ms is None else "EventTime")
+
+
+def chunk_verdicts_batch(chunks: DataFrame, late_ms: int = IDLE_MS) -> DataFrame:
+    """The same over a stored table, from running values over blocks of arrivals."""
+    key, block = ["session_id"], F.floor(F.col("arrival") / 65_536)
+    fit = F.col("status") == "ok"
+    c = running(chunks, key, block, ["arrival"], [Scan("newest", F.when(fit, F.col("ts_ms")), "max")])
+    c = c.withColumn("verdict", F.when(~fit, F.col("status")).when(F.col("ts_ms") < F.col("newest") - late_ms, "late").otherwise("ok"))
+    first = c.where(F.col("verdict") == "ok").groupBy("session_id", "chunk_id").agg(F.min("arrival").alias("first"))
+    c = c.join(first, ["session_id", "chunk_id"], "left")
+    again = (F.col("verdict") == "ok") & (F.col("arrival") > F.col("first"))
+    c = c.withColumn("verdict", F.when(again, "duplicate").otherwise(F.col("verdict")))
+    counted = F.when(F.col("verdict") == "ok", F.col("samples")).otherwise(0)
+    c = running(c, key, block, ["arrival"], [Scan("total", counted, "sum")])
+    return c.select("session_id", "arrival", "chunk_id", "verdict", (F.col("verdict") == "duplicate").alias("duplicate"),
+                    F.bround(F.col("total") / SAMPLES_PER_MS).cast("long").alias("duration_ms"))
+
+
 def _rows(pdfs: Iterator[pd.DataFrame]) -> pd.DataFrame:
     """A session's rows of one micro-batch in chunk order; the source's trigger limit bounds them."""
     return pd.concat(list(pdfs), ignore_index=True).sort_values("chunk_id", kind="stable")

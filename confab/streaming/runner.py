@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from confab.session import scratch_path
 
@@ -14,6 +16,29 @@ def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
         "maxFilesPerTrigger", 64).parquet(folder)
 
 
+@contextmanager
+def keyed_state(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB, which processors with map state, lifetimes and timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def in_batches(rows: DataFrame, order: Column, batches: int, label: str) -> DataFrame:
+    """A stored table as a stream of ``batches`` micro-batches: files written one after the other, one a trigger.
+
+    ``order`` says which part, from 0, a row belongs to.
+    """
+    path = scratch_path(rows.sparkSession, label)
+    for k in range(batches):
+        rows.where(order == k).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def drain(stream: DataFrame) -> DataFrame:
     """Append-mode rows, through a file sink with a checkpoint in the shared folder."""
     spark = stream.sparkSession
