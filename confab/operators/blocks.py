@@ -36,13 +36,15 @@ def running(df: DataFrame, keys: list[str], block: Column, order: list[str], sca
         src = src.withColumn(f"__v{i}", scan.value)
     rank = F.struct(*[F.col(c) for c in order])
     local = W.partitionBy(*keys, "__block").orderBy(*order)
+    # following values come from the reversed order: a frame that ends at the last row is evaluated anew for every row
+    back = W.partitionBy(*keys, "__block").orderBy(*[F.desc_nulls_last(c) for c in order])
     blocks = W.partitionBy(*keys).orderBy("__block")
+    blocks_back = W.partitionBy(*keys).orderBy(F.desc_nulls_last("__block"))
     summaries, out = [], src
     for i, scan in enumerate(scans):
         v = F.col(f"__v{i}")
         if scan.kind == "next":
-            frame = local.rowsBetween(0 if scan.inclusive else 1, W.unboundedFollowing)
-            here = F.first(v, ignorenulls=True).over(frame)
+            here = F.last(v, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0 if scan.inclusive else -1))
             summary = F.min_by(v, F.when(v.isNotNull(), rank))
         else:
             frame = local.rowsBetween(W.unboundedPreceding, 0 if scan.inclusive else -1)
@@ -67,7 +69,7 @@ def running(df: DataFrame, keys: list[str], block: Column, order: list[str], sca
         elif scan.kind == "last":
             c = F.last(s, ignorenulls=True).over(before)
         else:
-            c = F.first(s, ignorenulls=True).over(blocks.rowsBetween(1, W.unboundedFollowing))
+            c = F.last(s, ignorenulls=True).over(blocks_back.rowsBetween(W.unboundedPreceding, -1))
         picks.append(c.alias(f"__c{i}"))
     carry = carry.select(*keys, "__block", *picks)
     joined = out.join(carry, [*keys, "__block"], "left")

@@ -122,24 +122,44 @@ def keep_versions(versions: DataFrame, n: int = 5) -> DataFrame:
     return versions.withColumn("age", F.row_number().over(order)).where(F.col("age") <= n)
 
 
-def snapshot(segments: DataFrame, version: Column, part_size: int = PART_SIZE) -> DataFrame:
-    """Version rows (project_id, version, part, segments): arrays of at most ``part_size``."""
+def snapshot(segments: DataFrame, version: Column, part_size: int = PART_SIZE, words: DataFrame | None = None) -> DataFrame:
+    """Version rows (project_id, version, part, segments): arrays of at most ``part_size``; with ``words`` every segment holds its own."""
+    if words is not None:
+        fields = [c for c in words.columns if c not in ("project_id", "segment_id")]
+        held = words.groupBy("project_id", "segment_id").agg(F.array_sort(F.collect_list(F.struct("start_ms", *[c for c in fields if c != "start_ms"]))).alias("words"))
+        segments = segments.join(held, ["project_id", "segment_id"], "left")
     cols = [c for c in segments.columns if c != "project_id"]
     s = numbered(segments, ["project_id"], time_block(), ["start_ms", "segment_order"])
     return s.groupBy("project_id", F.floor((F.col("rn") - 1) / part_size).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("rn", *cols))).alias("segments")).withColumn("version", version)
 
 
-def restore_version(segments: DataFrame, versions: DataFrame, wanted: DataFrame) -> dict[str, DataFrame]:
-    """Bring back ``wanted`` (project_id, version): new segments, a snapshot of the old ones, evidence rows."""
+def restore_version(segments: DataFrame, versions: DataFrame, wanted: DataFrame, words: DataFrame | None = None,
+                    projects: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Bring back ``wanted`` (project_id, version): new segments, a snapshot of the old ones, evidence rows.
+
+    With ``words`` the snapshot holds them and a version that has words gives them back (key ``words``); with ``projects`` the restored
+    ones are completed (key ``projects``).
+    """
     found = versions.join(wanted, ["project_id", "version"])
-    restored = found.select("project_id", F.explode("segments").alias("s")).select("project_id", "s.*").drop("rn")
+    back = found.select("project_id", F.explode("segments").alias("s")).select("project_id", "s.*").drop("rn")
     ids = found.select("project_id", "version").distinct()
     before = segments.join(ids.select("project_id"), "project_id", "left_semi")
     evidence = ids.select("project_id", F.lit("version_restored").alias("event_type"),
                           F.to_json(F.struct(F.col("version").alias("versionId"))).alias("payload"))
-    return {"segments": replace_project_segments(segments, restored.select(*segments.columns)),
-            "snapshot": snapshot(before, F.lit("before-restore")), "evidence": evidence}
+    out = {"segments": replace_project_segments(segments, back.select(*segments.columns)), "evidence": evidence}
+    if words is None:
+        out["snapshot"] = snapshot(before, F.lit("before-restore"))
+    else:
+        out["snapshot"] = snapshot(before, F.lit("before-restore"), words=words.join(ids.select("project_id"), "project_id", "left_semi"))
+        if "words" in back.columns:
+            mine = back.select("project_id", "segment_id", F.explode("words").alias("w")).select("project_id", "segment_id", "w.*")
+            out["words"] = words.join(ids.select("project_id"), "project_id", "left_anti").unionByName(mine.select(*words.columns))
+    if projects is not None:
+        done = ids.select("project_id", F.lit(True).alias("restored"))
+        out["projects"] = projects.join(done, "project_id", "left").withColumn(
+            "status", F.when(F.col("restored"), "completed").otherwise(F.col("status"))).select(*projects.columns)
+    return out
 
 
 def recover_interrupted(jobs: DataFrame, projects: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

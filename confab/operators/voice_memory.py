@@ -321,6 +321,18 @@ def learning_audit(gated_samples: DataFrame, chosen: DataFrame, resolved: DataFr
     return all_.unionByName(s).unionByName(sel).unionByName(obs).unionByName(end)
 
 
+def evidence_audit(memory: DataFrame, learned: DataFrame, rejected: DataFrame) -> DataFrame:
+    """(item, n): samples that repeat a learned (profile, project, segment), and samples of the memory that give way to the new ones."""
+    keyed = learned.where(F.col("source_segment").isNotNull())
+    once = keyed.select("profile_id", "source_project", "source_segment").distinct()
+    count = lambda d: d.agg(F.count(F.lit(1)).alias("n"))
+    twice = count(keyed).join(F.broadcast(count(once).withColumnRenamed("n", "m")))  # two rows of one number
+    kept = replace_project_evidence(memory, learned, rejected).select("sample_id")
+    gone = memory.join(kept, "sample_id", "left_anti")
+    return twice.select(F.lit("duplicate").alias("item"), (F.col("n") - F.col("m")).alias("n")).unionByName(
+        count(gone).select(F.lit("replaced").alias("item"), "n"))
+
+
 def replace_project_evidence(memory: DataFrame, learned: DataFrame, rejected: DataFrame) -> DataFrame:
     """Sample table after a project was analysed again.
 

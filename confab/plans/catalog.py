@@ -146,6 +146,24 @@ def restore_version(spark, sf):
     return out["segments"].select("project_id", "segment_id", "text")
 
 
+@query("restore_version_records", sql("projects words", """
+    WITH x AS (SELECT s.*, status, s.project_id%3=0 AS back FROM segments s JOIN projects USING (project_id)),
+    w AS (SELECT segment_id, string_agg(word, ' ' ORDER BY start_ms, pos) AS words, string_agg('^' || word, ' ' ORDER BY start_ms, pos) AS neu FROM words GROUP BY 1)
+    SELECT project_id, segment_id, CASE WHEN back THEN 'V ' || text ELSE text END AS text, CASE WHEN back THEN 'completed' ELSE status END AS status,
+           CASE WHEN back THEN neu ELSE words END AS words FROM x JOIN w USING (segment_id)"""))
+def restore_version_records(spark, sf):
+    """Two of three projects keep what they have; the others go back to a version with other texts and words."""
+    w = tables.staged_words(spark, sf).select("project_id", "segment_id", "start_ms", "pos", "word")
+    s = tables.staged(spark, sf).select("project_id", "segment_id", "segment_order", "start_ms", "text")
+    p = cut(tables.projects(spark, sf).select("project_id", "status"), "projects")
+    old = cat.snapshot(s.withColumn("text", F.concat(F.lit("V "), "text")), F.lit("v1"), words=w.withColumn("word", F.concat(F.lit("^"), "word")))
+    out = cat.restore_version(s, cut(old, "versions"), p.where(F.col("project_id") % 3 == 0).select("project_id", F.lit("v1").alias("version")), w, p)
+    held = out["words"].groupBy("project_id", "segment_id").agg(F.array_join(F.transform(F.array_sort(
+        F.collect_list(F.struct("start_ms", "pos", "word"))), lambda x: x["word"]), " ").alias("words"))
+    return out["segments"].join(out["projects"], "project_id").join(held, ["project_id", "segment_id"]).select(
+        "project_id", "segment_id", "text", "status", "words")
+
+
 @query("recover_interrupted", """
     WITH j AS (SELECT user_id AS project_id, arg_max(event_type, event_id) AS t FROM events GROUP BY 1),
     k AS (SELECT project_id, CASE t WHEN 'click' THEN 'analyzing' WHEN 'view' THEN 'waiting_model' WHEN 'signup' THEN 'transcribing'

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from confab.functions import review
 from confab.operators import sequence as seq
+from confab.operators.blocks import Scan, running
 from confab.plans.registry import CTES, query, sql
 from confab.session import cut
 from confab.sources import tables
@@ -30,21 +31,44 @@ PARAGRAPHS = r"""
             (f.chg OR f.gap>1800 OR f.end_ms-r.st>42000 OR r.chars+f.len+r.held-r.tight-f.closer>620
              OR (r.le AND (f.gap>=750 OR r.raw>=180))) AS brk
           FROM rec r JOIN ft f ON f.project_id=r.project_id AND f.rn=r.rn+1))
-  SELECT project_id, arg_min(segment_id, rn) AS segment_id,
-    row_number() OVER (PARTITION BY project_id ORDER BY min(rn))-1 AS "order",
+  , ws AS (SELECT ft.project_id, grp, string_agg(word || '@' || w.start_ms, ' ' ORDER BY rn, w.start_ms, w.end_ms) AS words
+       FROM ft JOIN rec USING (project_id, rn) JOIN words w ON w.project_id=ft.project_id AND w.segment_id=ft.segment_id GROUP BY ALL),
+  rs AS (SELECT project_id, grp, flatten(list(CASE WHEN segment_id%3=0 THEN ['r' || segment_id%2, 'x'] ELSE []::VARCHAR[] END ORDER BY rn)) AS l
+       FROM ft JOIN rec USING (project_id, rn) GROUP BY ALL),
+  rd AS (SELECT project_id, grp, array_to_string(list_filter(l, lambda v, i: list_position(l, v)=i), '|') AS reasons FROM rs)
+  SELECT ft.project_id, any_value(ws.words) AS words, bool_or(ft.segment_id%9=0) AS speaker_provisional, arg_min(ft.speaker_profile_id+1, rn) AS speaker_cluster,
+    any_value(reasons) || CASE WHEN round(min(confidence),4)<0.84 THEN CASE WHEN any_value(reasons)<>'' THEN '|' ELSE '' END || 'Parte del texto tiene confianza inferior al 84 %.' ELSE '' END AS review_reasons,
+    arg_min(ft.segment_id, rn) AS segment_id,
+    row_number() OVER (PARTITION BY ft.project_id ORDER BY min(rn))-1 AS "order",
     min(start_ms) AS start_ms, arg_max(end_ms, rn) AS end_ms, arg_min(speaker, rn) AS speaker,
     ltrim(string_agg(CASE WHEN closer=1 THEN '' ELSE ' ' END || strip, '' ORDER BY rn)) AS text,
     round(min(confidence),4) AS confidence, count(*) AS members,
     CASE WHEN bool_or(review_state='pending') THEN 'pending' WHEN bool_or(review_state='corrected') THEN 'corrected'
          WHEN count(review_state)=count(*) THEN 'accepted' END AS review_state
-  FROM ft JOIN rec USING (project_id, rn) GROUP BY project_id, grp"""
+  FROM ft JOIN rec USING (project_id, rn) JOIN ws ON ws.project_id=ft.project_id AND ws.grp=rec.grp JOIN rd ON rd.project_id=ft.project_id AND rd.grp=rec.grp
+  GROUP BY ft.project_id, rec.grp"""
+PARAGRAPH = ["project_id", "segment_id", "order", "start_ms", "end_ms", "speaker", "text", "confidence", "members", "review_state",
+             "speaker_provisional", "speaker_cluster"]
 
 
-@query("group_paragraphs", sql("ordered", PARAGRAPHS))
+def paragraphs(spark, sf, **limits):
+    """Segments with reasons, provisional voices and clusters, and their words."""
+    w = tables.staged_words(spark, sf)
+    i = F.col("segment_id")
+    s = tables.segments(spark, sf, w).withColumns({
+        "review_reasons": F.when(i % 3 == 0, F.array(F.concat(F.lit("r"), i % 2), F.lit("x"))), "speaker_provisional": i % 9 == 0,
+        "speaker_cluster": F.col("speaker_profile_id") + 1})
+    return seq.group_paragraphs(s, **limits, words=w.select("project_id", "segment_id", "word", "start_ms", "end_ms", "probability"))
+
+
+def shown(p):
+    return p.select(*PARAGRAPH, F.array_join("review_reasons", "|").alias("review_reasons"), F.array_join(F.transform(
+        "words", lambda w: F.concat(w["word"], F.lit("@"), w["start_ms"])), " ").alias("words"))
+
+
+@query("group_paragraphs", sql("ordered words", PARAGRAPHS))
 def group_paragraphs(spark, sf):
-    return seq.group_paragraphs(tables.segments(spark, sf)).select(
-        "project_id", "segment_id", "order", "start_ms", "end_ms", "speaker", "text", "confidence", "members",
-        "review_state")
+    return shown(paragraphs(spark, sf))
 
 
 @query("pack_chunks", sql("ordered", """
@@ -65,24 +89,25 @@ def pack_chunks(spark, sf):
       coalesce(lead(w.start_ms) OVER (PARTITION BY segment_id ORDER BY w.start_ms) - w.end_ms, 10000) AS pause
     FROM words w JOIN (SELECT segment_id FROM segments WHERE end_ms-start_ms>3400) USING (segment_id)),
   rec AS (
-    SELECT project_id, segment_id, rn, 1 AS grp, start_ms AS st, start_ms, end_ms, pause FROM w WHERE rn=1
+    SELECT project_id, segment_id, rn, 1 AS grp, start_ms AS st, start_ms, end_ms, pause, word FROM w WHERE rn=1
     UNION ALL
     SELECT w.project_id, w.segment_id, w.rn, CASE WHEN c THEN w.rn ELSE grp END, CASE WHEN c THEN w.start_ms ELSE st END,
-           w.start_ms, w.end_ms, w.pause
+           w.start_ms, w.end_ms, w.pause, w.word
     FROM (SELECT *, (end_ms-st>=3000 OR (end_ms-st>=1050 AND pause>=260)) AS c FROM rec) r
     JOIN w ON w.segment_id=r.segment_id AND w.rn=r.rn+1),
-  u AS (SELECT project_id, segment_id, grp, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM rec GROUP BY ALL),
+  u AS (SELECT project_id, segment_id, grp, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n, string_agg(word, ' ' ORDER BY rn) AS t FROM rec GROUP BY ALL),
   v AS (SELECT *, lead(grp) OVER (PARTITION BY segment_id ORDER BY grp) IS NULL AS last,
                lag(grp) OVER (PARTITION BY segment_id ORDER BY grp) AS before FROM u),
-  x AS (SELECT project_id, segment_id, CASE WHEN last AND before IS NOT NULL AND e-s<550 THEN before ELSE grp END AS g, s, e, n FROM v),
-  y AS (SELECT project_id, segment_id, g, min(s) AS start_ms, max(e) AS end_ms, CAST(sum(n) AS BIGINT) AS words FROM x GROUP BY ALL)
+  x AS (SELECT project_id, segment_id, CASE WHEN last AND before IS NOT NULL AND e-s<550 THEN before ELSE grp END AS g, grp, s, e, n, t FROM v),
+  y AS (SELECT x.project_id, x.segment_id, g, min(s) AS start_ms, max(e) AS end_ms, CAST(sum(n) AS BIGINT) AS words,
+               string_agg(t, ' ' ORDER BY x.grp) AS text FROM x GROUP BY ALL)
   SELECT project_id, segment_id, segment_id || '-voice-' || (row_number() OVER (PARTITION BY segment_id ORDER BY g)-1) AS unit_id,
-         start_ms, end_ms, words FROM y
-  UNION ALL SELECT s.project_id, s.segment_id, CAST(s.segment_id AS VARCHAR), s.start_ms, s.end_ms, count(*)
+         start_ms, end_ms, words, text FROM y
+  UNION ALL SELECT s.project_id, s.segment_id, CAST(s.segment_id AS VARCHAR), s.start_ms, s.end_ms, count(*), trim(any_value(s.text))
   FROM segments s JOIN words USING (segment_id) WHERE s.end_ms-s.start_ms<=3400 GROUP BY ALL"""))
 def speaker_units(spark, sf):
     w = tables.staged_words(spark, sf)
-    return seq.speaker_units(tables.staged(spark, sf, w), w)
+    return seq.speaker_units(tables.staged(spark, sf, w), w).select("project_id", "segment_id", "unit_id", "start_ms", "end_ms", "words", "text")
 
 
 @query("subtitle_cues")
@@ -151,6 +176,56 @@ def accept_refinements(spark, sf):
     return seq.accept_refinements(s, refined).select("segment_id", "text", "confidence", "refined")
 
 
+@query("refined_words", sql("segments words", r"""
+    WITH t AS (SELECT project_id, segment_id, start_ms, text, segment_id%4<>3 AND round(0.70+(segment_id%23)/100.0,4)::DOUBLE>=confidence-0.03 AS t FROM segments)
+    SELECT w.project_id, w.segment_id, word, w.start_ms FROM words w JOIN t USING (segment_id) WHERE NOT t
+    UNION ALL SELECT project_id, segment_id, 'R', start_ms FROM t WHERE t UNION ALL SELECT project_id, segment_id, 'neu', start_ms+100 FROM t WHERE t"""))
+def refined_words(spark, sf):
+    """The second recogniser gives two words for every segment it was asked about."""
+    w = tables.staged_words(spark, sf)
+    s, i = tables.staged(spark, sf, w), F.col("segment_id")
+    refined = s.select("project_id", "segment_id", F.when(i % 4 == 3, "").otherwise("R neu").alias("text"), F.round(0.70 + (i % 23) / F.lit(100.0), 4).alias("confidence"))
+    new = s.select("project_id", "segment_id", F.explode(F.array(F.struct(F.lit("R").alias("word"), F.col("start_ms")), F.struct(
+        F.lit("neu").alias("word"), (F.col("start_ms") + 100).alias("start_ms")))).alias("w")).select("project_id", "segment_id", "w.*")
+    return seq.refined_words(w.select("project_id", "segment_id", "word", "start_ms"), new, seq.accept_refinements(s, refined))
+
+
+SPLIT = """
+    WITH r AS (SELECT *, CASE WHEN review_state='pending' THEN length(text)//2 END AS pos FROM segments),
+    c AS (SELECT *, least(length(text)-1, greatest(1,pos)) AS pt FROM r),
+    d AS (SELECT *, coalesce(pos IS NOT NULL AND trim(left(text,pt))<>'' AND trim(substr(text,pt+1))<>'', false) AS ok,
+                 CAST(floor(start_ms+(end_ms-start_ms)*(pt/length(text))+0.5) AS BIGINT) AS ms FROM c)"""
+
+
+@query("split_records", sql("segments words", SPLIT + """
+    SELECT w.project_id, CASE WHEN ok AND w.end_ms>ms THEN w.segment_id+1000000000 ELSE w.segment_id END AS segment_id, ok AND w.end_ms>ms AS right_half,
+           CASE WHEN ok THEN ms END AS split_ms, word, pos AS at FROM (SELECT * EXCLUDE (pos) FROM d) JOIN words w USING (segment_id)"""))
+def split_records(spark, sf):
+    """Words after every segment pending review was cut in the middle, under the ids of the halves."""
+    w = tables.staged_words(spark, sf)
+    s = tables.staged(spark, sf, w)
+    req = s.where(F.col("review_state") == "pending").select("project_id", "segment_id", F.floor(F.length("text") / 2).alias("position"))
+    halves = cut(seq.split_segments(s, req, F.col("segment_id") + 1_000_000_000), "halves")
+    moved = seq.words_after_split(w.select("project_id", "segment_id", "word", "end_ms", F.col("pos").alias("at")), halves)
+    part = halves.select("project_id", "segment_id", (F.col("part") == 1).alias("right_half"), "split_ms")
+    return moved.join(part, ["project_id", "segment_id"]).select("project_id", "segment_id", "right_half", "split_ms", "word", "at")
+
+
+@query("merged_words", sql("ordered words", """
+    WITH m AS (SELECT *, coalesce(review_state='corrected',false) AND NOT coalesce(lag(review_state) OVER w='corrected',false) AS req
+      FROM ordered WINDOW w AS (PARTITION BY project_id ORDER BY rn)),
+    n AS (SELECT m.*, coalesce(lag(req) OVER w,false) AS prv, lag(segment_id) OVER w AS pid FROM m WINDOW w AS (PARTITION BY project_id ORDER BY rn))
+    SELECT w.project_id, CASE WHEN prv THEN pid ELSE w.segment_id END AS segment_id, word, pos, w.turn FROM words w JOIN n USING (segment_id)"""))
+def merged_words(spark, sf):
+    """Words after every corrected segment that follows none took the one after it."""
+    w = tables.staged_words(spark, sf)
+    s = tables.staged(spark, sf, w)
+    wanted = F.coalesce(F.col("review_state") == "corrected", F.lit(False))
+    req = running(s, ["project_id"], F.floor(F.col("segment_order") / 4_096), ["segment_order"], [Scan("after_one", wanted, "last", inclusive=False)])
+    m = cut(seq.merge_segments(s, req.where(wanted & ~F.coalesce("after_one", F.lit(False))).select("project_id", "segment_id")), "merged")
+    return seq.words_after_merge(w.select("project_id", "segment_id", "word", "pos", "turn"), m)
+
+
 @query("split_segments", sql("segments", """
     WITH r AS (SELECT *, CASE WHEN review_state='pending' THEN length(text)//2 END AS pos FROM segments),
     c AS (SELECT *, least(length(text)-1, greatest(1,pos)) AS pt FROM r),
@@ -166,7 +241,7 @@ def split_segments(spark, sf):
     s = tables.staged(spark, sf)
     req = s.where(F.col("review_state") == "pending").select(
         "project_id", "segment_id", F.floor(F.length("text") / 2).alias("position"))
-    return seq.split_segments(s, req).select("project_id", "segment_id", "part", "start_ms", "end_ms", "text",
+    return seq.split_segments(s, req, F.col("segment_id")).select("project_id", "segment_id", "part", "start_ms", "end_ms", "text",
                                              "review_state", "segment_order")
 
 

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from confab.operators import sequence
 from confab.operators.blocks import Scan, running
+from confab.plans import voice
 from confab.plans.registry import CTES, query, sql
-from confab.plans.sequence import PARAGRAPHS
+from confab.plans.sequence import PARAGRAPHS, paragraphs, shown
 from confab.session import cut, scratch_path
 from confab.sources import tables
-from confab.streaming import changes, jobs, live, recording
+from confab.streaming import changes, closing, jobs, live, recording
 from confab.streaming.runner import drain, drain_updates, in_batches, keyed_state, stream_of
 
 
@@ -266,8 +266,40 @@ def relabel_stream(spark, sf):
     return changes.named_units(spark, f"{path}/table")
 
 
-@query("close_session", sql("ordered", PARAGRAPHS.replace("42000", "35000").replace("620", "520")))
+@query("close_session", sql("ordered words", PARAGRAPHS.replace("42000", "35000").replace("620", "520")))
 def close_session(spark, sf):
     """Paragraphs of a finished live session use tighter limits; voices are voted on separately."""
-    return sequence.group_paragraphs(tables.segments(spark, sf), 35_000, 520).select(
-        "project_id", "segment_id", "order", "start_ms", "end_ms", "speaker", "text", "confidence", "members", "review_state")
+    return shown(paragraphs(spark, sf, max_ms=35_000, max_chars=520))
+
+
+LIVE_WORDS = 17  # recordings that the voice samples come from
+
+
+def live_segments(spark, sf):
+    """Conversations as sessions whose speakers are voice clusters 0, 1 and 2."""
+    s = tables.staged(spark, sf)
+    return s.where(F.col("project_id") < LIVE_WORDS).withColumn("speaker_cluster", F.col("speaker_profile_id") % 3).withColumnRenamed("project_id", "session_id")
+
+
+@query("closed_sessions", sql("segments", """
+    SELECT project_id AS session_id, max(project_id*3600000+start_ms) AS last_ms, count(*) AS chunks FROM segments GROUP BY 1
+    HAVING max(project_id*3600000+start_ms)+600000 <= (SELECT max(project_id*3600000+start_ms) FROM segments)"""))
+def closed_sessions(spark, sf):
+    """Conversations begin an hour apart; a session closes ten minutes after its last segment."""
+    s = tables.staged(spark, sf).select(F.col("project_id").alias("session_id"), (F.col("project_id") * 3_600_000 + F.col("start_ms")).alias("ts_ms"))
+    hours = s.agg(F.max("session_id")).first()[0] + 1
+    with keyed_state(spark):
+        return drain(recording.closed_sessions(in_batches(s, F.floor(F.col("session_id") * 5 / hours), 5, "moments"), 600_000))
+
+
+@query("close_live_sessions")
+def close_live_sessions(spark, sf):
+    """Reports of sessions as they close: paragraphs named by the votes on their voice samples."""
+    s = cut(live_segments(spark, sf), "live-segments")
+    moments = s.select("session_id", (F.col("session_id") * 3_600_000 + F.col("start_ms")).alias("ts_ms"))
+    end = spark.createDataFrame([(LIVE_WORDS, LIVE_WORDS * 3_600_000)], "session_id long, ts_ms long")
+    path = scratch_path(spark, "closings")
+    with keyed_state(spark):
+        closed = recording.closed_sessions(in_batches(moments.unionByName(end), F.floor(F.col("session_id") / 4), 5, "moments"), 600_000)
+        closing.write_closings(closed, s, voice.live(spark, sf), f"{path}/table", f"{path}/state")
+    return closing.closings(spark, f"{path}/table")

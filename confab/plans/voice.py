@@ -351,22 +351,37 @@ def learning_audit_whole(spark, sf):
     return vm.learning_audit(g, vm.temporally_diverse(ok, vm.OBS), vm.resolve_profile(gate, ok, profiles), gate)
 
 
-@query("replace_project_evidence", sql("memory", """
+RELEARNED = """
     WITH l AS (SELECT * FROM (SELECT sample_id+100000 AS sample_id, (profile_id+sample_id%2)%10 AS profile_id, source_project, source_segment,
         duration_ms, confidence, embedding, created_at FROM memory WHERE confidence>=0.8)),
     r AS (SELECT DISTINCT source_project FROM memory WHERE confidence<0.555),
     n AS (SELECT * FROM l WHERE source_segment IS NULL UNION ALL SELECT * FROM l WHERE source_segment IS NOT NULL
           QUALIFY row_number() OVER (PARTITION BY profile_id, source_project, source_segment ORDER BY sample_id)=1),
     k AS (SELECT * FROM memory m WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.profile_id=m.profile_id AND l.source_project=m.source_project)
-          AND (source_project NOT IN (SELECT source_project FROM l) OR source_project IN (SELECT source_project FROM r)))
+          AND (source_project NOT IN (SELECT source_project FROM l) OR source_project IN (SELECT source_project FROM r)))"""
+
+
+@query("replace_project_evidence", sql("memory", RELEARNED + """
     SELECT sample_id, profile_id, source_project FROM k UNION ALL SELECT sample_id, profile_id, source_project FROM n"""))
 def replace_project_evidence(spark, sf):
+    return vm.replace_project_evidence(*relearned(spark, sf)).select("sample_id", "profile_id", "source_project")
+
+
+def relearned(spark, sf):
+    """Memory, samples learned again (some under another profile), and projects with rejections."""
     m = cut(memory(spark, sf), "memory")
     i = F.col("sample_id")
     new = m.where(F.col("confidence") >= 0.8).withColumn("profile_id", (F.col("profile_id") + i % 2) % 10).withColumn(
         "sample_id", i + 100_000)
     rejected = m.where(F.col("confidence") < 0.555).select("source_project")
-    return vm.replace_project_evidence(m, new, rejected).select("sample_id", "profile_id", "source_project")
+    return m, new, rejected
+
+
+@query("evidence_audit", sql("memory", RELEARNED + """
+    SELECT 'duplicate' AS item, count(*)-count(DISTINCT (profile_id, source_project, source_segment)) AS n FROM l WHERE source_segment IS NOT NULL
+    UNION ALL SELECT 'replaced', (SELECT count(*) FROM memory)-(SELECT count(*) FROM k)"""))
+def evidence_audit(spark, sf):
+    return vm.evidence_audit(*relearned(spark, sf))
 
 
 PAIRS = "(SELECT profile_id AS source_id, (profile_id*3+1)%10 AS target_id FROM profiles)"

@@ -239,3 +239,44 @@ def phrase_segments_batch(chunks: DataFrame, latency: str = "balanced") -> DataF
 
     c = chunks.select("session_id", "chunk_id", "samples", "rms")
     return c.repartition("session_id").sortWithinPartitions("session_id", "chunk_id").mapInPandas(walk, PHRASE)
+
+
+CLOSED = "session_id long, last_ms long, chunks long"
+
+
+class Closing(StatefulProcessor):
+    """One session: its newest moment and how much has come; a timer closes it ``idle_ms`` after that."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "last_ms long, chunks long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last, chunks = self.open.get() if self.open.exists() else (-(1 << 62), 0)
+        for g in rows:
+            last, chunks = max(last, int(g["ts_ms"].max())), chunks + len(g)
+        self.open.update((last, chunks))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(max(last + self.idle_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame(columns=["session_id", "last_ms", "chunks"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        last, chunks = self.open.get()
+        self.open.clear()
+        yield pd.DataFrame({"session_id": [key[0]], "last_ms": [last], "chunks": [chunks]})
+
+    def close(self) -> None:
+        pass
+
+
+def closed_sessions(rows: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Stream of sessions (session_id, last_ms, chunks) that event time has passed by ``idle_ms``; ``rows``: session_id, ts_ms.
+
+    A session that speaks again after it was closed is a new one and closes again.
+    """
+    timed = rows.select("session_id", "ts_ms", F.timestamp_millis("ts_ms").alias("ts")).withWatermark("ts", "0 seconds")
+    return timed.groupBy("session_id").transformWithStateInPandas(Closing(idle_ms), CLOSED, "Append", "EventTime")
