@@ -273,6 +273,7 @@ def close_session(spark, sf):
 
 
 LIVE_WORDS = 17  # recordings that the voice samples come from
+BEGIN = 1_700_000_000_000  # Spark takes event times before 1970 as late
 
 
 def live_segments(spark, sf):
@@ -282,11 +283,11 @@ def live_segments(spark, sf):
 
 
 @query("closed_sessions", sql("segments", """
-    SELECT project_id AS session_id, max(project_id*3600000+start_ms) AS last_ms, count(*) AS chunks FROM segments GROUP BY 1
-    HAVING max(project_id*3600000+start_ms)+600000 <= (SELECT max(project_id*3600000+start_ms) FROM segments)"""))
+    SELECT project_id AS session_id, max(1700000000000+project_id*3600000+start_ms) AS last_ms, count(*) AS chunks FROM segments GROUP BY 1
+    HAVING max(1700000000000+project_id*3600000+start_ms)+600000 <= (SELECT max(1700000000000+project_id*3600000+start_ms) FROM segments)"""))
 def closed_sessions(spark, sf):
     """Conversations begin an hour apart; a session closes ten minutes after its last segment."""
-    s = tables.staged(spark, sf).select(F.col("project_id").alias("session_id"), (F.col("project_id") * 3_600_000 + F.col("start_ms")).alias("ts_ms"))
+    s = tables.staged(spark, sf).select(F.col("project_id").alias("session_id"), (BEGIN + F.col("project_id") * 3_600_000 + F.col("start_ms")).alias("ts_ms"))
     hours = s.agg(F.max("session_id")).first()[0] + 1
     with keyed_state(spark):
         return drain(recording.closed_sessions(in_batches(s, F.floor(F.col("session_id") * 5 / hours), 5, "moments"), 600_000))
@@ -296,8 +297,8 @@ def closed_sessions(spark, sf):
 def close_live_sessions(spark, sf):
     """Reports of sessions as they close: paragraphs named by the votes on their voice samples."""
     s = cut(live_segments(spark, sf), "live-segments")
-    moments = s.select("session_id", (F.col("session_id") * 3_600_000 + F.col("start_ms")).alias("ts_ms"))
-    end = spark.createDataFrame([(LIVE_WORDS, LIVE_WORDS * 3_600_000)], "session_id long, ts_ms long")
+    moments = s.select("session_id", (BEGIN + F.col("session_id") * 3_600_000 + F.col("start_ms")).alias("ts_ms"))
+    end = spark.createDataFrame([(LIVE_WORDS, BEGIN + LIVE_WORDS * 3_600_000)], "session_id long, ts_ms long")
     path = scratch_path(spark, "closings")
     with keyed_state(spark):
         closed = recording.closed_sessions(in_batches(moments.unionByName(end), F.floor(F.col("session_id") / 4), 5, "moments"), 600_000)
