@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from confab.llm.texts import byte_table, flat, fresh, slices
+from confab.llm.texts import byte_table, flat, fresh, give_back, giving_back, slices
 from confab.session import cut
 
 WINDOW = 13
 SHARE = 20  # a document is contaminated when SHARE times its hit words are at least its words
-SHARD_WORDS = 600_000
+SHARD_WORDS = 300_000
 STEP = 16
 BROADCAST_ROWS = 1 << 20  # contaminated documents that may be named to every task
 BLOCK_BYTES = 4 << 20  # bytes of benchmark text searched in one pass
@@ -64,19 +64,20 @@ def suffix_order(text: np.ndarray, separators: int) -> np.ndarray:
         shifted[:n - width] = text[width:]
         key = (key << base.bit_length()) | shifted
         width += 1
-    order = np.argsort(key)
+    order = np.argsort(key).astype(np.int32)  # a shard is far below 2^31 words
     key = key[order]
     new = np.ones(n, bool)
     new[1:] = key[1:] != key[:-1]
     # keys that reach past a separator are distinct already, since separators are
-    rank = np.empty(n, np.int64)
+    del key
+    rank = np.empty(n, np.int32)
     heads = np.flatnonzero(new)
     rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
     single = new & np.append(new[1:], True)
     slots = np.flatnonzero(~single)
     while len(slots):
         at = order[slots]
-        key = rank[at] * n + rank[np.minimum(at + width, n - 1)]
+        key = rank[at].astype(np.int64) * n + rank[np.minimum(at + width, n - 1)]
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[slots] = at
@@ -115,11 +116,11 @@ class Shard:
     @classmethod
     def build(cls, words: pa.Array, counts: np.ndarray) -> "Shard":
         coded = pc.dictionary_encode(words) if not isinstance(words, pa.DictionaryArray) else words
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         docs, n = len(counts), len(codes) + len(counts)
         starts = np.concatenate([[0], np.cumsum(counts + 1)]).astype(np.int64)
         ends = starts[1:] - 1
-        text = np.empty(n, np.int64)
+        text = np.empty(n, np.int32)
         solid = np.ones(n, bool)
         solid[ends] = False
         text[ends], text[solid] = np.arange(docs), codes + docs
@@ -223,10 +224,11 @@ def build_index(docs: DataFrame, label: str = "fm_index") -> DataFrame:
                 if size >= SHARD_WORDS:
                     yield row(number, ids, keys, words, counts)
                     number, size, ids, keys, words, counts = number + 1, 0, [], [], [], []
+                    give_back()
         if ids:
             yield row(number, ids, keys, words, counts)
 
-    return cut(rows.mapInArrow(run, INDEX), label)
+    return cut(rows.mapInArrow(giving_back(run), INDEX), label)
 
 
 def _shard(row: dict) -> Shard:
@@ -326,7 +328,7 @@ def find_spans(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), row["shard"]), pa.int64()), pa.array(d, pa.int64()), pa.array(ids[i], pa.string()),
                                                       pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["shard", "doc", "item_id", "first_word", "end_word"])
 
-        part = index.mapInArrow(run, schema)
+        part = index.mapInArrow(giving_back(run), schema)
         found = part if found is None else found.union(part)
     return spark.createDataFrame([], schema) if found is None else found
 

@@ -20,7 +20,7 @@ from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from confab.llm.texts import flat, fresh, id_in_slot, slices
+from confab.llm.texts import flat, fresh, give_back, id_in_slot, slices
 from confab.session import cut
 
 WIDTH = 2048
@@ -178,6 +178,7 @@ def predicted(model: Model, text: Column) -> Column:
             a, b = model.predict(part)
             langs += a
             scores.append(b)
+        give_back()
         return pa.StructArray.from_arrays(
             [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())],
             ["lang_pred", "score"])
