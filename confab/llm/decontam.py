@@ -61,7 +61,7 @@ def suffix_order(text: np.ndarray, separators: int) -> np.ndarray:
     width, key = 1, text.astype(np.int64)
     while (width + 1) * base.bit_length() <= 62 and width < 4:
         shifted = np.zeros(n, np.int64)
-        shifted[:n - width] = text[width:]
+        shifted[:max(0, n - width)] = text[width:]
         key = (key << base.bit_length()) | shifted
         width += 1
     order = np.argsort(key).astype(np.int32)  # a shard is far below 2^31 words
