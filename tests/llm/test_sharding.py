@@ -50,3 +50,20 @@ def test_edges(spark):
     assert sharding.report(df.where(F.lit(False))).count() == 0
     wide = spark.range(400).select(F.col("id").alias("doc_id"), F.md5(F.col("id").cast("string")).alias("text"))
     assert len(checked(sharding.report(wide, 5).collect(), [(r.doc_id, r.text) for r in wide.collect()], 5)) == 5
+
+
+def test_rows_equal_in_id_and_text_are_divided(spark):
+    docs = spark.range(9_000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same words again")).otherwise(F.md5(F.col("id").cast("string"))).alias("text"),
+        F.lit("x").alias("row_uid"), F.lit(1).alias("heavy_key"))
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    rows = sharding.report(docs).collect()
+    sizes = checked(rows, texts, 24)
+    ideal = sum(sizes.values()) / 24
+    assert len(sizes) == 24 and all(abs(s - ideal) <= 0.05 * ideal for s in sizes.values())
+    assert sorted(map(str, rows)) == sorted(map(str, sharding.report(docs).collect()))
+    full = sharding.shard(docs)
+    assert full.columns == docs.columns + ["shard", "slot"] and full.select("shard", "slot").distinct().count() == 9_000
+    one = sharding.report(docs.where("doc_id IS NULL"))
+    sizes = checked(one.collect(), [t for t in texts if t[0] is None], 24)
+    assert len(sizes) == 24 and max(sizes.values()) <= 1.05 * sum(sizes.values()) / 24
