@@ -4,15 +4,17 @@ Every source's target is its share of all words by weight, with no source above
 take is shared again by weight. A source first gives complete epochs. The rest of its target is a weighted sample without replacement
 (Efraimidis and Spirakis): every document draws an exponential key whose rate is its quality weight, documents are ordered by key, and
 the running sum of their words is followed up to the rest of the target; the document at the boundary is taken if at least half of it
-fits.
+fits. Rows equal in id and text share a key and follow each other on that line, so the boundary may fall among them: then only as many
+of them are taken as fit, numbered in a written table.
 
 A hot source is not sorted as a whole: keys are counted in ``BUCKETS`` buckets per source, and only the bucket in which the target is
-reached is ordered row by row. The outcome is one row per source (epochs, boundary bucket, boundary key), so documents are taken or
-left where they lie.
+reached is ordered row by row. The outcome is one row per source (epochs, boundary bucket, boundary key and how many rows of that key),
+so all other documents are taken or left where they lie.
 
 Defined results: a null text has no words and follows its key; sources are ranked by code point with null last; a null, zero or
-infinite quality weight counts as 1; rows equal in id and text share their key and are taken or left together; a result column
-replaces a column of the same name; an empty table gives an empty result. Keys depend on id and text alone, so reruns agree.
+infinite quality weight counts as 1; of rows equal in id and text any may be the ones taken; documents without words come once for
+every epoch and once more up to the boundary; a result column replaces a column of the same name; an empty table
+gives an empty result. Keys depend on id and text alone, so reruns agree on how often each id and text is taken.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from confab.session import cut
 MOST = 3
 WEIGHTS = (1, 2, 3)
 BUCKETS = 4096
+NUMBERED = 4_096  # rows of a boundary key that are numbered together
 BROADCAST_SOURCES = 100_000  # rows of the source table that may go to every task
 
 
@@ -89,13 +92,16 @@ def _decided(slim: DataFrame, most: int, weights: tuple) -> DataFrame:
         (F.col("before") <= F.col("rest")) & (F.col("before") + F.col("size") > F.col("rest"))).select("s", "bucket", "before", "rest")
     edges = cut(edges.withColumnRenamed("bucket", "edge"), "mix_edges")
     inside = slim.join(_small(edges), F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("edge"))).groupBy(
-        "s", "key", "before", "rest").agg(F.sum("size").alias("size"))
-    sum_to = F.sum("size").over(Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
-    last = inside.withColumn("to", F.col("before") + sum_to).where(2 * F.col("to") - F.col("size") <= 2 * F.col("rest")).groupBy(
-        F.col("s").alias("t")).agg(F.max("key").alias("edge_key"))
+        "s", "key", "before", "rest").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"), F.max("size").alias("one"))
+    sum_before = F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    room = 2 * (F.col("rest") - (F.col("before") + sum_before))
+    fit = F.when(F.col("one") > 0, F.floor((room + F.col("one")) / (2 * F.col("one")))).when(room >= 0, F.col("rows")).otherwise(0)
+    last = inside.withColumn("fit", F.least("rows", fit.cast("long"))).where("fit > 0").groupBy(F.col("s").alias("t")).agg(
+        F.max("key").alias("edge_key"), F.max_by("fit", "key").alias("edge_fit"), F.max_by("rows", "key").alias("edge_rows"))
     joined = aims.join(edges.select("s", "edge"), F.col("source").eqNullSafe(F.col("s")), "left").join(last, F.col("source").eqNullSafe(F.col("t")), "left")
     return cut(joined.select("source", "source_size", "target", "epochs", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"),
-                             F.coalesce("edge_key", F.lit(-1.0)).alias("edge_key")), "mix_sources")
+                             F.coalesce("edge_key", F.lit(-1.0)).alias("edge_key"), F.coalesce("edge_fit", F.lit(0)).alias("edge_fit"),
+                             F.coalesce("edge_rows", F.lit(0)).alias("edge_rows")), "mix_sources")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -103,9 +109,26 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
 
 
-def _copies(key: Column) -> Column:
-    bucket = _bucket(key)
-    return F.col("epochs") + F.when((bucket < F.col("edge")) | ((bucket == F.col("edge")) & (key <= F.col("edge_key"))), 1).otherwise(0)
+def _copied(rows: DataFrame, key: str, of: dict, decided: DataFrame, out: str) -> DataFrame:
+    """``rows`` beside their source's decision (columns named by ``of``) with ``out``, how often the mix takes each."""
+    epochs, edge, edge_key, fit, equal = (F.col(of[c]) for c in ("epochs", "edge", "edge_key", "edge_fit", "edge_rows"))
+    bucket = _bucket(F.col(key))
+    taken = (bucket < edge) | ((bucket == edge) & (F.col(key) <= edge_key))
+    if decided.where("edge_fit < edge_rows").isEmpty():
+        return rows.withColumn(out, (epochs + F.when(taken, 1).otherwise(0)).cast("int"))
+    parted = (bucket == edge) & (F.col(key) == edge_key) & (fit < equal)
+    whole = rows.where(~parted).withColumn(out, (epochs + F.when(taken, 1).otherwise(0)).cast("int"))
+    uid, block = fresh(rows.columns, "mix_uid"), fresh(rows.columns, "mix_block")
+    some = cut(rows.where(parted).withColumn(uid, F.monotonically_increasing_id()), "mix_parted").withColumn(block, F.floor(F.col(uid) / NUMBERED))
+    source = F.col(of["source"])
+    counts = some.groupBy(source.alias("s"), F.col(block).alias("b")).agg(F.count(F.lit(1)).alias("n"))  # one boundary key per source
+    up_to = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("s", "b", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("n")).toDF(
+        *(own := [fresh(some.columns, f"mix_before_{c}") for c in "sbn"]))
+    nth = F.col(own[2]) + F.row_number().over(Window.partitionBy(own[0], own[1]).orderBy(uid))
+    some = some.join(before, source.eqNullSafe(F.col(own[0])) & (F.col(block) == F.col(own[1]))).withColumn(
+        out, (epochs + F.when(nth <= fit, 1).otherwise(0)).cast("int"))
+    return whole.unionByName(some.select(*whole.columns))
 
 
 def _slim(docs: DataFrame, weight: Column | None) -> DataFrame:
@@ -116,27 +139,25 @@ def _slim(docs: DataFrame, weight: Column | None) -> DataFrame:
 def plan(docs: DataFrame, weight: Column | None = None, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """doc_id, size, source_size, target, copies and taken of every row."""
     slim = _slim(docs, weight)
-    of = _decided(slim.select("source", "size", "key"), most, weights).withColumnRenamed("source", "of_source")
-    rows = slim.join(_small(of), F.col("source").eqNullSafe(F.col("of_source")))
-    return rows.withColumn("copies", _copies(F.col("key"))).select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    decided = _decided(slim.select("source", "size", "key"), most, weights)
+    of = {c: f"of_{c}" for c in decided.columns}
+    rows = slim.join(_small(decided.toDF(*of.values())), F.col("source").eqNullSafe(F.col("of_source")))
+    return _copied(rows, "key", of, decided, "copies").select(
+        "doc_id", "size", F.col("of_source_size").alias("source_size"), F.col("of_target").alias("target"), F.col("copies").cast("long").alias("copies"),
+        (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST, weights: tuple = WEIGHTS) -> DataFrame:
     """Every row as often as the mix takes it; columns unchanged."""
     words, key = _keyed(docs, weight)
-    of = _decided(_slim(docs, weight).select("source", "size", "key"), most, weights)
+    decided = _decided(_slim(docs, weight).select("source", "size", "key"), most, weights)
     keep = docs.columns
-    names = {c: fresh(keep, f"mix_{c}") for c in of.columns}
-    of = of.toDF(*names.values())
-    rows = docs.withColumn(fresh(keep, "mix_key"), key)
-    rows = rows.join(_small(of), F.col("source").eqNullSafe(F.col(names["source"])))
-    k = F.col(fresh(keep, "mix_key"))
-    bucket = _bucket(k)
-    taken = (bucket < F.col(names["edge"])) | ((bucket == F.col(names["edge"])) & (k <= F.col(names["edge_key"])))
-    copies = (F.col(names["epochs"]) + F.when(taken, 1).otherwise(0)).cast("int")
-    one = fresh(keep, "mix_copy")
-    return rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), copies))).select(*[F.col(f"`{c}`") for c in keep])
+    names = {c: fresh(keep, f"mix_{c}") for c in decided.columns}
+    name = fresh(keep, "mix_key")
+    rows = docs.withColumn(name, key).join(_small(decided.toDF(*names.values())), F.col("source").eqNullSafe(F.col(names["source"])))
+    copies, one = fresh(rows.columns, "mix_copies"), fresh(rows.columns, "mix_copy")
+    rows = _copied(rows, name, names, decided, copies)
+    return rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in keep])
 
 
 ORACLE = r"""
@@ -157,10 +178,17 @@ t AS (
 e AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
 g AS (
-  SELECT source, key, sum(size) AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY key) AS upto FROM k GROUP BY source, key)
-SELECT k.doc_id, CAST(k.size AS BIGINT) AS size, e.source_size, CAST(e.target AS DOUBLE) AS target,
-       CAST(e.epochs + CASE WHEN 2 * g.upto - g.size <= 2 * (e.target - e.epochs * e.source_size) THEN 1 ELSE 0 END AS BIGINT) AS copies,
-       CAST(k.size * (e.epochs + CASE WHEN 2 * g.upto - g.size <= 2 * (e.target - e.epochs * e.source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
-       JOIN g ON k.source IS NOT DISTINCT FROM g.source AND k.key = g.key
+  SELECT source, key, count(*) AS n, max(size) AS one, sum(sum(size)) OVER (PARTITION BY source ORDER BY key) - sum(size) AS before FROM k GROUP BY source, key),
+f AS (
+  SELECT g.source, g.key, e.source_size, e.target, e.epochs,
+         CASE WHEN one > 0 THEN floor((2 * (e.target - e.epochs * e.source_size - before) + one) / (2 * one))
+              WHEN before <= e.target - e.epochs * e.source_size THEN n ELSE 0 END AS fit
+  FROM g JOIN e ON g.source IS NOT DISTINCT FROM e.source),
+c AS (
+  SELECT k.doc_id, k.size, f.source_size, f.target,
+         f.epochs + CASE WHEN row_number() OVER (PARTITION BY k.source, k.key) <= f.fit THEN 1 ELSE 0 END AS copies
+  FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source AND k.key = f.key)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target,
+       CAST(copies AS BIGINT) AS copies, CAST(size * copies AS BIGINT) AS taken
+FROM c
 """

@@ -46,10 +46,10 @@ def expected(rows):
                 groups[-math.log(u) / w].append((i, n))
         before = 0
         for key in sorted(groups):
-            g = sum(n for _, n in groups[key])
-            times = epochs + (2 * before + g <= 2 * rest)
-            out += [(i, n, sizes[source], round(target[source], 6), times, times * n) for i, n in groups[key]]
-            before += g
+            for i, n in groups[key]:
+                times = epochs + (2 * before + n <= 2 * rest)
+                out.append((i, n, sizes[source], round(target[source], 6), times, times * n))
+                before += n
     return sorted(out, key=str)
 
 
@@ -89,3 +89,22 @@ def test_edges(spark):
     assert mixing.plan(none).count() == 0 and mixing.mix(none).count() == 0
     odd = mixing.plan(df, weight=F.when(F.col("doc_id") > 3, F.lit(0.0))).collect()
     assert len(odd) == len(rows)
+
+
+@pytest.mark.parametrize("numbered", [7, 4096])
+def test_rows_equal_in_id_and_text_are_taken_as_far_as_they_fit(spark, monkeypatch, numbered):
+    monkeypatch.setattr(mixing, "NUMBERED", numbered)
+    rows = [(None if k % 2 else 1, "four words in it", s) for k in range(1_200) for s in ("a", None)]
+    rows += [(k, f"w{k} " * (1 + k % 5), s) for k in range(300) for s in ("a", "b", None)] + [(7, "p q r", "b")] * 2_000 + [(8, None, "b")] * 40
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, mix_uid int, mix_block string")
+    plan = mixing.plan(df)
+    have = got(plan)
+    assert have == expected(rows)
+    for source_size, target in {(r[2], r[3]) for r in have}:
+        assert abs(sum(r[5] for r in have if r[2:4] == (source_size, target)) - target) <= 5
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    counts = {}
+    for r in have:
+        counts[r[0]] = counts.get(r[0], 0) + r[4]
+    assert {r.doc_id: r["count"] for r in mixed.groupBy("doc_id").count().collect()} == {i: n for i, n in counts.items() if n}
