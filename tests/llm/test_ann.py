@@ -60,3 +60,29 @@ def test_copies_ties_and_unusable_rows(spark):
 def test_quantile():
     assert abs(ann.chi_square_quantile(0.95, 2) - 5.991464547) < 1e-6
     assert abs(ann.chi_square_quantile(0.95, 12) - 21.02606982) < 1e-6
+
+
+@pytest.mark.parametrize("clusters, most_verified", [(1, 1.0), (40, 0.2)])
+def test_projected_neighbours_are_verified_in_order(clusters, most_verified):
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((clusters, 32))[rng.integers(0, clusters, 4_000)] * 6 * (clusters > 1) + rng.standard_normal((4_000, 32))
+    index, stop = ann.Leaves.build(np.arange(4_000), points), ann.chi_square_quantile(ann.SURE, ann.DIMENSIONS)
+    for q in range(0, 4_000, 200):
+        flat = points[q] @ ann.directions(32)
+        ids, d2 = index.nearest(points[q], flat, 11, float("inf"), stop)
+        true = ((points - points[q]) ** 2).sum(axis=1)
+        reach = ((points @ ann.directions(32) - flat) ** 2).sum(axis=1)
+        assert np.allclose(true[ids], d2) and list(d2) == sorted(d2) and ids[0] == q
+        near = set(np.flatnonzero((reach <= stop * d2[-1] * (1 - 1e-9)) & (true < d2[-1])).tolist())
+        assert near <= set(ids.tolist())  # nothing within the stopping bound is passed over
+        known = true[np.argsort(true)[10]] * (1 + 1e-9)  # a bound from elsewhere: what the test lets through is found all the same
+        within = np.flatnonzero((reach <= stop * known * (1 - 1e-6)) & (true <= known))
+        assert set(within.tolist()) <= set(index.nearest(points[q], flat, 11, known, stop)[0].tolist())
+    assert index.verified <= 2 * 20 * 4_000 * most_verified
+
+
+def test_few_points():
+    points = np.eye(3)
+    index = ann.Leaves.build(np.arange(3), points)
+    ids, d2 = index.nearest(points[1], points[1] @ ann.directions(3), 11, float("inf"), ann.chi_square_quantile(0.98, ann.DIMENSIONS))
+    assert ids.tolist() == [1, 0, 2] and d2.tolist() == [0.0, 2.0, 2.0]
