@@ -28,6 +28,33 @@ CTES["scores"] = (("tokens",), """
       JOIN (SELECT project_id, count(*) AS n FROM segments GROUP BY 1) USING (project_id)
       GROUP BY e.project_id, e.segment_order) x USING (project_id, segment_order)""")
 CAP = "upper(left(token,1)) || substr(token,2)"
+#: The greedy choice as a walk down each project's ranking, one segment a step.
+PICKS = """WITH RECURSIVE ranked AS (
+      SELECT c.project_id, c.segment_order, c.score, coalesce(l, []) AS l,
+             row_number() OVER (PARTITION BY c.project_id ORDER BY c.score DESC, c.segment_order DESC) AS r
+      FROM scores c LEFT JOIN (SELECT project_id, segment_order, list(DISTINCT token) AS l FROM tokens GROUP BY ALL) USING (project_id, segment_order)),
+    walk AS (
+      SELECT project_id, CAST(0 AS BIGINT) AS r, CAST([] AS VARCHAR[][]) AS taken, CAST([] AS BIGINT[]) AS orders FROM ranked WHERE r=1
+      UNION ALL
+      SELECT project_id, r, CASE WHEN fits THEN list_append(taken, l) ELSE taken END,
+             CASE WHEN fits THEN list_append(orders, segment_order) ELSE orders END
+      FROM (SELECT w.project_id, k.r, taken, orders, l, segment_order, len(list_filter(taken, lambda c:
+                len(list_intersect(c, l)) / greatest(1, len(list_distinct(list_concat(c, l)))) > 0.62))=0 AS fits
+            FROM walk w JOIN ranked k ON k.project_id=w.project_id AND k.r=w.r+1 WHERE len(taken)<8)),
+    picks AS (
+      SELECT project_id, unnest(range(len(orders))) AS pick, unnest(orders) AS segment_order
+      FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY r DESC)=1)),
+"""
+
+
+def short_sql(limit: int) -> str:
+    """A CTE ``short`` (project_id, segment_order, short) of the picked segments' shortened texts."""
+    return rf"""short AS (
+      SELECT project_id, segment_order, CASE WHEN length(v)<={limit} THEN v ELSE left(v, greatest(40, CASE WHEN position(' ' IN reverse(hd))>0
+        THEN length(hd)-position(' ' IN reverse(hd)) ELSE -1 END)) || '…' END AS short
+      FROM (SELECT *, left(v,{limit - 1}) AS hd FROM (
+        SELECT project_id, segment_order, trim(regexp_replace(text,'\s+',' ','g')) AS v FROM segments JOIN picks USING (project_id, segment_order))))
+"""
 
 
 @query("transcript_stats", sql("projects", r"""
@@ -93,7 +120,15 @@ def segment_scores(spark, sf):
     return insights.segment_scores(tables.staged(spark, sf)).select("project_id", "segment_id", "score")
 
 
-@query("key_points")
+@query("key_points", sql("scores", PICKS + short_sql(260) + f"""
+    SELECT p.project_id, pick, s.segment_id, s.start_ms, s.end_ms, score,
+           coalesce(title, 'Punto en ' || CAST(round_even(s.start_ms/60000.0,0) AS BIGINT) || ' min') AS title, short AS text
+    FROM picks p JOIN scores USING (project_id, segment_order) JOIN segments s USING (project_id, segment_order)
+    JOIN short USING (project_id, segment_order) LEFT JOIN (
+      SELECT project_id, segment_order, string_agg({CAP}, ' · ' ORDER BY n DESC, seen) AS title FROM (
+        SELECT project_id, segment_order, token, count(*) AS n, min(pos) AS seen FROM tokens GROUP BY project_id, segment_order, token
+        QUALIFY row_number() OVER (PARTITION BY project_id, segment_order ORDER BY count(*) DESC, min(pos))<=3)
+      GROUP BY ALL) USING (project_id, segment_order)"""))
 def key_points(spark, sf):
     s = tables.staged(spark, sf)
     return insights.key_points(s, insights.pick_key_points(insights.segment_scores(s)))
@@ -108,7 +143,9 @@ def best_point(spark, sf):
     return picks.select("project_id", "segment_order", "score")
 
 
-@query("extractive_summary")
+@query("extractive_summary", sql("scores", PICKS + short_sql(220) + """
+    SELECT project_id, string_agg(short, ' ' ORDER BY segment_order) AS summary
+    FROM picks JOIN short USING (project_id, segment_order) WHERE pick<5 GROUP BY project_id"""))
 def extractive_summary(spark, sf):
     s = tables.staged(spark, sf)
     return insights.extractive_summary(s, insights.pick_key_points(insights.segment_scores(s)))
