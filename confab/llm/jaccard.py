@@ -159,7 +159,7 @@ def measured(rows: DataFrame, words: int, percent: int) -> tuple[np.ndarray, int
             signs = [signature(u) for u in sets]
             yield pa.RecordBatch.from_arrays([pa.array([s[0] for s in signs], pa.int64()), pa.array([s[1] for s in signs], pa.int64()), _lists(sets)], ["hi", "lo", "set"])
 
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLE)) == 0).select("text").distinct()
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(SAMPLE)) == 0).select("text")
     sets = sample.mapInArrow(giving_back(tokens), "hi long, lo long, set array<long>").dropDuplicates(["hi", "lo"])
     counted = cut(sets.select(F.explode("set").alias("token"), (F.size("set") <= LIGHT_MOST).cast("long").alias("light"))
                   .groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("light").alias("light")).where("n > 1 or light > 0"), "shingle_counts")
@@ -283,6 +283,8 @@ def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rest = one.join(other, (x("token") == y("token")) & (x("component") != y("component"))
                     & ((y("component") == y("main")) | (x("component") < y("component"))) & near(x("n"), x("pos"), y("n"), y("pos")))
     rest = unseen(rest.select(x("node").alias("a"), y("node").alias("b")), seen, "other_pairs")
+    if rest.isEmpty():
+        return sets, classes, links
     return sets, classes, cut(links.union(_verified(rest, classes, rows, words, percent)), "set_links")
 
 
