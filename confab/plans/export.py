@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from confab.operators import export
 from confab.plans.registry import query, sql
+from confab.plans.sequence import cues
 from confab.sources import tables
 
 
@@ -32,12 +33,21 @@ def export_json(spark, sf):
     return out.withColumn("text", F.regexp_replace("text", r',"segment_order":\d+', ""))
 
 
-@query("export_srt")
+def subtitles(head: str, line: str, mark: str) -> str:
+    """Numbered cue texts of a recording, joined by blank lines."""
+    clock = "printf('%02d:%02d:%02d{m}%03d', {c}//3600000, {c}%3600000//60000, {c}%60000//1000, {c}%1000)"
+    times = f"{clock.format(m=mark, c='start_ms')} || ' --> ' || {clock.format(m=mark, c='end_ms')} || chr(10)"
+    return sql("segments", cues(42) + f""",
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY start_ms, segment_order, n) AS rn, {times} AS times FROM cues)
+  SELECT project_id, 0 AS part, {head} string_agg({line}, chr(10)||chr(10) ORDER BY rn) || chr(10) AS text FROM numbered GROUP BY project_id""")
+
+
+@query("export_srt", subtitles("", "rn || chr(10) || times || '[' || speaker || '] ' || trim(text)", ","))
 def export_srt(spark, sf):
     return export.render_transcripts(tables.segments(spark, sf), "srt")
 
 
-@query("export_vtt")
+@query("export_vtt", subtitles("'WEBVTT' || chr(10)||chr(10) ||", "times || trim(text)", "."))
 def export_vtt(spark, sf):
     return export.render_transcripts(tables.segments(spark, sf), "vtt")
 

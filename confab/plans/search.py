@@ -85,7 +85,30 @@ def rank_context(spark, sf):
     return search.rank_context(questions(spark, sf), search._indexed(tables.segments(spark, sf)))
 
 
-@query("select_context")
+@query("select_context", sql("segments", f"""
+    WITH RECURSIVE ix AS MATERIALIZED (
+      SELECT project_id, segment_id, text, length(text) AS size, row_number() OVER (PARTITION BY project_id ORDER BY start_ms, segment_order)-1 AS idx FROM segments),
+    asked AS (SELECT project_id, turn AS question_id, {WORDS.format(c='c.text')} AS qt, n, chars FROM conversations c
+              JOIN (SELECT project_id, count(*) AS n, sum(size) AS chars FROM ix GROUP BY 1) t ON t.project_id=c.conv_id WHERE role='user'),
+    scored AS (SELECT project_id, question_id, idx, len(list_intersect(qt, {WORDS.format(c='text')})) AS score
+               FROM asked JOIN ix USING (project_id) WHERE chars>1500),
+    ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY project_id, question_id ORDER BY score DESC, idx DESC) AS rank FROM scored QUALIFY rank<=24),
+    choice AS (
+      SELECT project_id, question_id, n, 0 AS r, list_distinct([0, n-1]) AS keep, false AS done FROM asked WHERE chars>1500
+      UNION ALL
+      SELECT project_id, question_id, n, r+1, CASE WHEN stop THEN keep ELSE list_distinct(keep || [greatest(0, idx-1), idx, least(n-1, idx+1)]) END, stop
+      FROM (SELECT c.*, k.idx, done OR (score<=0 AND len(keep)>=10) AS stop FROM choice c JOIN ranked k
+            ON k.project_id=c.project_id AND k.question_id=c.question_id AND k.rank=c.r+1)),
+    chosen AS (SELECT project_id, question_id, unnest(arg_max(keep, r)) AS idx FROM choice GROUP BY 1, 2),
+    trimming AS (
+      SELECT project_id, question_id, list({{'idx': idx, 'size': size, 'segment_id': segment_id}} ORDER BY idx) AS items
+      FROM chosen JOIN ix USING (project_id, idx) GROUP BY 1, 2
+      UNION ALL
+      SELECT project_id, question_id, items[1:len(items)//2] || items[len(items)//2+2:] FROM trimming
+      WHERE len(items)>4 AND list_sum(list_transform(items, lambda x: x.size))>1500),
+    kept AS (SELECT project_id, question_id, unnest(arg_min(items, len(items))) AS item FROM trimming GROUP BY 1, 2)
+    SELECT project_id, question_id, segment_id, idx FROM asked JOIN ix USING (project_id) WHERE chars<=1500
+    UNION ALL SELECT project_id, question_id, item.segment_id, item.idx FROM kept"""))
 def select_context(spark, sf):
     """A small limit, so that choosing and trimming both happen."""
     return search.select_context(questions(spark, sf), tables.staged(spark, sf), 1_500)

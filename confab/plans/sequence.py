@@ -110,7 +110,31 @@ def speaker_units(spark, sf):
     return seq.speaker_units(tables.staged(spark, sf, w), w).select("project_id", "segment_id", "unit_id", "start_ms", "end_ms", "words", "text")
 
 
-@query("subtitle_cues")
+def cues(line: int) -> str:
+    """Bodies of the WITH items up to ``cues``: words walk into lines of at most ``line`` characters, two lines are a cue, and a segment's time is shared by length."""
+    return rf"""
+  WITH RECURSIVE spoken AS MATERIALIZED (
+    SELECT project_id, segment_id, segment_order, speaker, greatest(0, start_ms) AS s, greatest(greatest(0, start_ms) + 1, end_ms) AS e,
+           list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS l FROM segments),
+  walk AS (
+    SELECT project_id, segment_id, 1 AS i, 0 AS line_no, length(l[1]) AS fill, l FROM spoken WHERE len(l) > 0
+    UNION ALL
+    SELECT project_id, segment_id, i + 1, line_no + CASE WHEN over THEN 1 ELSE 0 END, CASE WHEN over THEN length(l[i+1]) ELSE fill + 1 + length(l[i+1]) END, l
+    FROM (SELECT *, fill + 1 + length(l[i+1]) > {line} AS over FROM walk WHERE i < len(l))),
+  lined AS (SELECT project_id, segment_id, line_no, string_agg(l[i], ' ' ORDER BY i) AS t FROM walk GROUP BY 1, 2, 3),
+  paired AS (SELECT project_id, segment_id, line_no//2 AS n, string_agg(t, chr(10) ORDER BY line_no) AS text FROM lined GROUP BY 1, 2, 3),
+  placed AS (
+    SELECT *, CAST(sum(length(text)) OVER (PARTITION BY project_id, segment_id ORDER BY n) AS BIGINT) - length(text) AS before,
+           CAST(sum(length(text)) OVER (PARTITION BY project_id, segment_id) AS BIGINT) AS total,
+           n = max(n) OVER (PARTITION BY project_id, segment_id) AS final FROM paired),
+  timed AS (
+    SELECT project_id, segment_id, segment_order, n, speaker, text, final, e, CAST(round_even(s + (e-s)*before/total, 0) AS BIGINT) AS start_ms,
+           CAST(round_even(s + (e-s)*(before + greatest(1, length(text)))/total, 0) AS BIGINT) AS stop FROM placed JOIN spoken USING (project_id, segment_id)),
+  cues AS (
+    SELECT project_id, segment_id, segment_order, n, speaker, start_ms, greatest(start_ms + 1, CASE WHEN final THEN e ELSE stop END) AS end_ms, text FROM timed)"""
+
+
+@query("subtitle_cues", sql("segments", cues(24) + " SELECT * FROM cues"))
 def subtitle_cues(spark, sf):
     return seq.subtitle_cues(tables.segments(spark, sf), 24, 2)
 
