@@ -314,7 +314,23 @@ def free_generic_names(spark, sf):
     return seq.free_generic_names(taken, wanted)
 
 
-@query("leader_cluster")
+@query("leader_cluster", sql("samples", """
+  WITH RECURSIVE u AS MATERIALIZED (
+    SELECT source_project AS project_id, sample_id, start_ms, duration_ms, embedding, row_number() OVER (PARTITION BY source_project ORDER BY start_ms) AS rn
+    FROM samples),
+  walk AS (
+    SELECT project_id, rn, [embedding] AS voices, [1] AS sizes, CAST(1 AS BIGINT) AS cluster FROM u WHERE rn=1
+    UNION ALL
+    SELECT project_id, rn,
+      CASE WHEN fresh THEN voices || [v]
+           ELSE list_transform(voices, lambda c, i: CASE WHEN i=k THEN list_transform(moved, lambda x: x/greatest(sqrt(list_inner_product(moved, moved)), 1e-8)) ELSE c END) END,
+      CASE WHEN fresh THEN sizes || [1] ELSE list_transform(sizes, lambda z, i: CASE WHEN i=k THEN z+1 ELSE z END) END,
+      CASE WHEN fresh THEN len(voices)+1 ELSE k END
+    FROM (SELECT *, list_transform(voices[k], lambda c, i: c + least(0.15, 1/(sizes[k]+1))*(v[i]-c)) AS moved FROM (
+      SELECT *, len(voices)<8 AND duration_ms>=1000 AND list_max(near)<0.884 AS fresh, list_position(near, list_max(near)) AS k FROM (
+        SELECT w.project_id, u.rn, voices, sizes, u.embedding AS v, duration_ms, list_transform(voices, lambda c: list_inner_product(c, u.embedding)) AS near
+        FROM walk w JOIN u ON u.project_id=w.project_id AND u.rn=w.rn+1))))
+  SELECT project_id, sample_id, start_ms, duration_ms, cluster FROM walk JOIN u USING (project_id, rn)"""))
 def leader_cluster(spark, sf):
     u = tables.voice_samples(spark, sf).select(F.col("source_project").alias("project_id"), "sample_id", "start_ms",
                                                "duration_ms", "embedding")

@@ -211,9 +211,22 @@ def best_per_bucket(spark, sf):
     return vm.best_per_bucket(live(spark, sf), 60_000).select("session_id", "cluster", "sample_id", F.round("quality", 6).alias("quality"))
 
 
-@query("bounded_evidence")
+@query("bounded_evidence", sql("live", """
+    WITH RECURSIVE b AS MATERIALIZED (
+      SELECT *, start_ms//15000 AS bucket, match_confidence*0.62+confidence*0.28+least(1,duration_ms/4000)*0.1 AS quality FROM live
+      QUALIFY row_number() OVER (PARTITION BY session_id, cluster, bucket ORDER BY quality DESC, start_ms, sample_id)=1),
+    span AS MATERIALIZED (SELECT session_id, cluster, count(*) AS n, min(start_ms) AS lo, max(start_ms) AS hi FROM b GROUP BY 1, 2),
+    picks AS (
+      SELECT session_id, cluster, 0 AS turn, CAST([] AS BIGINT[]) AS ids FROM span WHERE n>5
+      UNION ALL
+      SELECT session_id, cluster, turn+1, any_value(ids) || [list(sample_id ORDER BY abs(start_ms-(lo+(hi-lo)*turn/4)), quality DESC, start_ms, sample_id)[1]]
+      FROM picks JOIN span USING (session_id, cluster) JOIN b USING (session_id, cluster)
+      WHERE turn<5 AND NOT list_contains(ids, sample_id) GROUP BY session_id, cluster, turn),
+    kept AS (SELECT session_id, cluster, unnest(ids) AS sample_id FROM picks WHERE turn=5
+             UNION ALL SELECT session_id, cluster, sample_id FROM b JOIN span USING (session_id, cluster) WHERE n<=5)
+    SELECT * REPLACE (round(quality,6) AS quality) FROM b JOIN kept USING (session_id, cluster, sample_id)"""))
 def bounded_evidence(spark, sf):
-    return vm.bounded_evidence(live(spark, sf), 5)
+    return vm.bounded_evidence(live(spark, sf), 5).withColumn("quality", F.round("quality", 6))
 
 
 ROBUST = """, q AS (SELECT a.{k} AS g, a.sample_id AS i, b.sample_id AS j, least(1,greatest(-1,list_inner_product(a.embedding,b.embedding))) AS s,
