@@ -1,5 +1,7 @@
 """Voice matching and voice memory."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from confab.operators import matching, voice_memory as vm
@@ -314,7 +316,28 @@ def gate_observations(spark, sf):
                                          F.round("coherence", 6).alias("coherence"), "reject_reason")
 
 
-@query("resolve_profile")
+SECOND = re.sub(r"\b(q|md|me|nr|c1|c2|kp|ce|cu|co)\b", r"\1_2", ROBUST.format(k="o", t="nearer").rpartition("SELECT g AS o")[0])
+RESOLVED = OBS_GATE + """
+    , p AS (SELECT res.g, profile_id, list_inner_product(res.c, k.centroid) AS s, match_threshold FROM res, known k WHERE reject_reason IS NULL AND matched IS NULL),
+    tops AS (SELECT g, arg_max(profile_id,s) AS profile_id, arg_max(match_threshold,s) AS threshold, max(s) AS score, max(s)-max(s,2)[2] AS margin, count(*) AS np
+             FROM p GROUP BY g),
+    aim AS (SELECT g, profile_id AS target FROM tops WHERE score>=greatest(least(0.90,threshold+0.015), CASE WHEN np=1 THEN 0.72 ELSE 0.70 END) AND margin>=0.035
+            UNION ALL SELECT g, matched FROM res WHERE reject_reason IS NULL AND matched IS NOT NULL),
+    nearer AS (SELECT ch.* FROM chosen ch JOIN kp USING (sample_id) JOIN aim ON aim.g=ch.o JOIN profiles f ON f.profile_id=target
+               WHERE list_inner_product(ch.embedding,f.centroid)>=greatest(0.52, least(0.90,f.match_threshold+0.015)-0.03))""" + SECOND + """
+    , ks_2 AS (SELECT g, sum(duration_ms) AS kept_ms FROM kp_2 GROUP BY 1),
+    own AS (SELECT aim.g, target, match_threshold, co_2.h, co_2.n, kept_ms, CASE WHEN co_2.g IS NOT NULL THEN least(1,greatest(-1,list_inner_product(co_2.c,f.centroid))) END AS s
+            FROM aim JOIN profiles f ON f.profile_id=target LEFT JOIN co_2 USING (g) LEFT JOIN ks_2 USING (g)),
+    judged AS (SELECT *, CASE WHEN g%100%6=0 THEN coalesce(least(0.9,s),0.9) ELSE s END AS sure FROM own),
+    resolved AS (
+      SELECT g//100 AS project_id, g%100 AS cluster, CASE WHEN status='matched' THEN target END AS profile_id, status, sure AS match_confidence, n AS kept FROM (
+        SELECT *, CASE WHEN coalesce(kept_ms,0)<1300 OR (n>=3 AND h<0.42) THEN 'insufficientClearAudio'
+                       WHEN sure IS NULL OR sure<least(0.90,match_threshold+0.015) THEN 'weakProfileMatch' ELSE 'matched' END AS status FROM judged)
+      UNION ALL SELECT project_id, cluster, NULL, 'residual', NULL, n FROM res WHERE reject_reason IS NULL AND matched IS NULL AND g NOT IN (SELECT g FROM aim))"""
+
+
+@query("resolve_profile", sql("chosen known", RESOLVED + """
+    SELECT project_id, cluster, profile_id, status, round(match_confidence,6) AS match_confidence, kept FROM resolved"""))
 def resolve_profile(spark, sf):
     _, ok, profiles, _, gate = learning(spark, sf)
     return vm.resolve_profile(gate, ok, profiles).select(
@@ -347,19 +370,22 @@ def new_profiles(spark, sf):
     return out.select("project_id", "cluster", "profile_id", "opened").join(names, "profile_id", "left")
 
 
-@query("learning_audit", sql("chosen", OBS_GATE + """
+AUDIT = """
     SELECT 'received' AS item, count(*) AS n FROM gated UNION ALL SELECT coalesce(reject_reason,'eligible'), count(*) FROM gated GROUP BY 1
     UNION ALL SELECT 'selected', count(*) FROM chosen
-    UNION ALL SELECT 'observation:' || reject_reason, count(*) FROM res WHERE reject_reason IS NOT NULL GROUP BY 1"""))
+    UNION ALL SELECT 'observation:' || reject_reason, count(*) FROM res WHERE reject_reason IS NOT NULL GROUP BY 1"""
+
+
+@query("learning_audit", sql("chosen", OBS_GATE + AUDIT))
 def learning_audit(spark, sf):
     g, ok, profiles, _, gate = learning(spark, sf)
     a = vm.learning_audit(g, vm.temporally_diverse(ok, vm.OBS), vm.resolve_profile(gate, ok, profiles), gate)
     return a.where(~F.col("item").startswith("status:"))
 
 
-@query("learning_audit_whole")
+@query("learning_audit_whole", sql("chosen known", RESOLVED + AUDIT + " UNION ALL SELECT 'status:' || status, count(*) FROM resolved GROUP BY 1"))
 def learning_audit_whole(spark, sf):
-    """The rows of learning_audit and those of the final states, which its check SQL lacks."""
+    """The rows of learning_audit and those of the final states."""
     g, ok, profiles, _, gate = learning(spark, sf)
     return vm.learning_audit(g, vm.temporally_diverse(ok, vm.OBS), vm.resolve_profile(gate, ok, profiles), gate)
 
