@@ -359,7 +359,24 @@ def resolve_unmatched(spark, sf):
                     F.round("score", 6).alias("score"))
 
 
-@query("new_profiles")
+@query("new_profiles", sql("chosen known", OBS_GATE.replace("WITH z0", "WITH RECURSIVE z0", 1) + """
+    , p AS (SELECT res.g, project_id, cluster, res.c, n, h, list_inner_product(res.c, k.centroid) AS s FROM res, known k WHERE reject_reason IS NULL),
+    tops AS (SELECT g, project_id, cluster, any_value(c) AS v, any_value(n) AS n, any_value(h) AS h, max(s) AS known, max(s)-max(s,2)[2] AS margin
+             FROM p GROUP BY g, project_id, cluster),
+    strangers AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY project_id, cluster) AS rn FROM tops
+                               WHERE NOT (known>=0.70 AND margin>=0.035) AND NOT (n=2 AND h<0.90)),
+    opening AS (
+      SELECT CAST(0 AS BIGINT) AS rn, CAST([] AS DOUBLE[][]) AS openers, CAST(NULL AS BIGINT) AS profile_id, false AS opened
+      UNION ALL
+      SELECT rn, CASE WHEN joins THEN openers ELSE openers || [v] END, 1000 + CASE WHEN joins THEN list_position(near, best)-1 ELSE len(openers) END, NOT joins
+      FROM (SELECT *, coalesce(best>=0.70 AND best-greatest(known, coalesce(list_reverse_sort(near)[2], known))>=0.035, false) AS joins FROM (
+        SELECT *, list_max(near) AS best FROM (
+          SELECT u.rn, openers, v, known, list_transform(openers, lambda o: list_inner_product(o, v)) AS near
+          FROM opening JOIN strangers u ON u.rn=opening.rn+1)))),
+    settled AS (SELECT project_id, cluster, profile_id, opened FROM opening JOIN strangers USING (rn)),
+    names AS (SELECT profile_id, CASE WHEN cluster%4=0 THEN 'Ana' ELSE 'Hablante ' || row_number() OVER (PARTITION BY cluster%4=0 ORDER BY profile_id) END AS name
+              FROM settled WHERE opened)
+    SELECT project_id, cluster, profile_id, opened, name FROM settled LEFT JOIN names USING (profile_id)"""))
 def new_profiles(spark, sf):
     """Voices that no enabled profile fits open profiles of their own; none of the observations claims one."""
     _, ok, profiles, obs, gate = learning(spark, sf)
