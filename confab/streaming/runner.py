@@ -29,14 +29,19 @@ def keyed_state(spark: SparkSession):
 
 
 def in_batches(rows: DataFrame, order: Column, batches: int, label: str) -> DataFrame:
-    """A stored table as a stream of ``batches`` micro-batches: files written one after the other, one a trigger.
+    """A stored table as a stream of ``batches`` micro-batches, written one after the other, one a trigger.
 
-    ``order`` says which part, from 0, a row belongs to.
+    ``order`` says which part, from 0, a row belongs to. Every part is written by all cores, as the same number of files; where
+    fewer tasks had rows, empty files make up the number, so a trigger takes exactly one part.
     """
-    path = scratch_path(rows.sparkSession, label)
+    spark = rows.sparkSession
+    path, files = scratch_path(spark, label), spark.sparkContext.defaultParallelism
+    none = spark.createDataFrame([], rows.schema)
     for k in range(batches):
-        rows.where(order == k).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.where(order == k).repartition(files).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            none.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drain(stream: DataFrame) -> DataFrame:

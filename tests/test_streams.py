@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from confab.operators import catalog, search, sequence, voice_memory as vm
 from confab.streaming import changes, closing, live, recording
+from confab.session import scratch_path
 from confab.streaming.runner import drain, in_batches, keyed_state
 from tests.test_cases import directions, segs
 
@@ -156,3 +157,17 @@ def test_search_by_automaton_and_by_joins(spark, monkeypatch):
         plain += [(q, k + 1, h[3], h[4], -h[0]) for k, h in enumerate(sorted(h for h in hit if h[0])[:20])]
     assert sorted(map(tuple, whole.select("query_id", "rank", "segment_id", "project_id", "relevance").collect())) == plain
     assert search.search_many(s, p, terms.where("false")).count() == 0
+
+
+def test_every_core_writes_a_batch_and_a_trigger_takes_one_batch(spark):
+    rows = spark.range(400).select("id", F.when(F.col("id") < 300, 0).when(F.col("id") < 301, 1).otherwise(2).alias("part"))
+    stream, seen = in_batches(rows, F.col("part"), 3, "parts"), []
+
+    def look(batch, batch_id):
+        files = {r.f for r in batch.select(F.input_file_name().alias("f")).distinct().collect()}
+        seen.append((batch_id, {r.part for r in batch.select("part").distinct().collect()}, batch.count(), len(files)))
+
+    q = stream.writeStream.foreachBatch(look).option("checkpointLocation", scratch_path(spark, "look")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    cores = spark.sparkContext.defaultParallelism
+    assert seen == [(0, {0}, 300, cores), (1, {1}, 1, 1), (2, {2}, 99, cores)]
