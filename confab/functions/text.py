@@ -64,10 +64,9 @@ def fold(c: Column) -> Column:
 
 def all_tokens(c: Column) -> Column:
     """Topic words in text order, repeats kept."""
-    found = F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), F.lit(0))
-    words = F.filter(F.split(fold(F.array_join(found, " ")), " "), lambda w: w != "")
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOPWORDS)])
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    found = F.array_join(F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), F.lit(0)), " ")
+    words = F.transform(F.array(found), lambda t: F.split(fold(t), " "))[0]  # an array of one: found once, not at every place fold reads it
+    return F.filter(words, lambda w: ~w.isin("", *dict.fromkeys(STOPWORDS)))
 
 
 def query_terms(c: Column) -> Column:

@@ -14,14 +14,24 @@ FIRST_LOOK = 64
 
 
 def not_blank(segments: DataFrame) -> DataFrame:
-    return segments.where(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
+    return segments.where(F.col("text").rlike(r"(?U)\S"))
+
+
+def with_tokens(segments: DataFrame) -> DataFrame:
+    """The segments with their topic words as a written column, for callers that run several operators over them."""
+    return cut(segments.withColumn("tokens", tx.all_tokens(F.col("text"))), "tokens")
+
+
+def tokens_of(segments: DataFrame) -> Column:
+    """The written topic words if :func:`with_tokens` has added them."""
+    return F.col("tokens") if "tokens" in segments.columns else tx.all_tokens(F.col("text"))
 
 
 def token_rows(segments: DataFrame) -> DataFrame:
     """(project_id, segment_id, segment_order, start_ms, pos, token), one row per topic word."""
     return not_blank(segments).select(
         "project_id", "segment_id", "segment_order", "start_ms",
-        F.posexplode(tx.all_tokens(F.col("text"))).alias("pos", "token"))
+        F.posexplode(tokens_of(segments)).alias("pos", "token"))
 
 
 def transcript_stats(segments: DataFrame, projects: DataFrame) -> DataFrame:
@@ -65,8 +75,7 @@ def capitalized(c: Column) -> Column:
 
 def concept_edges(segments: DataFrame, concepts: DataFrame, k: int = 18) -> DataFrame:
     """Pairs of a project's top concepts meeting in a segment; at most 66 pairs per segment."""
-    sets = not_blank(segments).select("project_id", "segment_order", F.array_distinct(
-        tx.all_tokens(F.col("text"))).alias("tokens"))
+    sets = not_blank(segments).select("project_id", "segment_order", F.array_distinct(tokens_of(segments)).alias("tokens"))
     tops = concepts.groupBy("project_id").agg(F.collect_set("token").alias("tops"))
     present = sets.join(tops, "project_id").select(
         "project_id", "segment_order", F.array_sort(F.array_intersect("tokens", "tops")).alias("p")).where(
@@ -94,7 +103,7 @@ def chapters(segments: DataFrame, projects: DataFrame) -> DataFrame:
     heads = s.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2).groupBy(*key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ")
         .alias("head"))
-    words = s.select(*key, "segment_order", F.posexplode(tx.all_tokens(F.col("text"))).alias("pos", "token"))
+    words = s.select(*key, "segment_order", F.posexplode(tokens_of(segments)).alias("pos", "token"))
     words = words.groupBy(*key, "token").agg(F.count(F.lit(1)).alias("n"),
                                              F.min(F.struct("segment_order", "pos")).alias("seen"))
     top = W.partitionBy(*key).orderBy(F.desc("n"), "seen")
@@ -113,7 +122,7 @@ def segment_scores(segments: DataFrame) -> DataFrame:
     all rows travels as one row per project.
     """
     s = not_blank(segments).select("project_id", "segment_id", "segment_order",
-                                   tx.all_tokens(F.col("text")).alias("tokens"),
+                                   tokens_of(segments).alias("tokens"),
                                    F.col("text").contains("?").alias("asks"))
     n = s.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"))
     each = s.select("project_id", "segment_order", F.explode("tokens").alias("token")).groupBy(
@@ -182,10 +191,10 @@ def _segment_title(tokens: Column, start_ms: Column) -> Column:
 
 
 def key_points(segments: DataFrame, picks: DataFrame) -> DataFrame:
-    s = segments.select("project_id", "segment_order", "segment_id", "start_ms", "end_ms", "text")
+    s = segments.select("project_id", "segment_order", "segment_id", "start_ms", "end_ms", "text", tokens_of(segments).alias("tokens"))
     return picks.join(s, ["project_id", "segment_order"]).select(
         "project_id", "pick", "segment_id", "start_ms", "end_ms", "score",
-        _segment_title(tx.all_tokens(F.col("text")), F.col("start_ms")).alias("title"),
+        _segment_title(F.col("tokens"), F.col("start_ms")).alias("title"),
         tx.shorten(F.col("text"), 260).alias("text"))
 
 

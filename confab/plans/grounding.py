@@ -107,7 +107,7 @@ def whole(spark, sf):
 
     Beside ``raw``, whose check SQL fixes the first word of every turn.
     """
-    s = tables.staged(spark, sf)
+    s = insights.with_tokens(tables.segments(spark, sf))  # four operators read the words
     p = cut(tables.projects(spark, sf, s), "projects")
     top = cut(insights.top_concepts(insights.token_rows(s)), "concepts")
     points = insights.key_points(s, cut(insights.pick_key_points(insights.segment_scores(s)), "picks"))

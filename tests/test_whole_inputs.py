@@ -1,10 +1,15 @@
 """Queries over whole inputs, beside those whose check SQL fixes a part."""
 
+import contextlib
+import io
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from confab.operators import insights, voice_memory as vm
 from confab.plans import load
 from confab.plans.voice import learning
-from confab.operators import voice_memory as vm
+from confab.sources import tables
 
 SF = "/root/testdata/sf0.001"
 QUERIES, _ = load()
@@ -34,3 +39,19 @@ def test_audit_counts_final_states(spark):
     states = Counter(f"status:{r.status}" for r in vm.resolve_profile(gate, ok, profiles).collect())
     assert states and {k: n for k, n in audit.items() if k.startswith("status:")} == states
     assert {k: n for k, n in audit.items() if not k.startswith("status:")} == {r["item"]: r.n for r in rows(spark, "learning_audit")}
+
+
+def test_written_topic_words_are_not_found_again(spark):
+    s = tables.segments(spark, SF)
+    p, t = tables.projects(spark, SF, s), insights.with_tokens(s)
+    assert t.where(F.size("tokens") > 0).count() > 0
+    top = insights.top_concepts(insights.token_rows(s))
+    forms = [lambda s: insights.top_concepts(insights.token_rows(s)), lambda s: insights.segment_scores(s), lambda s: insights.chapters(s, p),
+             lambda s: insights.concept_edges(s, top)]
+    for form in forms:
+        assert Counter(map(str, form(s).collect())) == Counter(map(str, form(t).collect()))
+    for form in forms[:2]:  # the others read concepts or projects, which are built from the texts
+        plan = io.StringIO()
+        with contextlib.redirect_stdout(plan):
+            form(t).explain()
+        assert "regexp_extract_all" not in plan.getvalue()
