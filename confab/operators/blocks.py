@@ -29,8 +29,13 @@ def time_block(column: str | Column = "start_ms", width: int = BLOCK_MS) -> Colu
     return F.floor(c / F.lit(width)).cast("long")
 
 
-def running(df: DataFrame, keys: list[str], block: Column, order: list[str], scans: list[Scan]) -> DataFrame:
-    """Append every scan's running value; ``block`` must be non-decreasing in ``order``."""
+def running(df: DataFrame, keys: list[str], block: Column, order: list[str], scans: list[Scan],
+            partitions: int | None = None, keep: str | None = None) -> DataFrame:
+    """Append every scan's running value; ``block`` must be non-decreasing in ``order``.
+
+    With ``partitions`` the big side is dealt over that many; ``keep`` names a column that holds the block, so that a grouping
+    by keys and block needs no other shuffle.
+    """
     src = df.withColumn("__block", block)
     for i, scan in enumerate(scans):
         src = src.withColumn(f"__v{i}", scan.value)
@@ -40,7 +45,7 @@ def running(df: DataFrame, keys: list[str], block: Column, order: list[str], sca
     back = W.partitionBy(*keys, "__block").orderBy(*[F.desc_nulls_last(c) for c in order])
     blocks = W.partitionBy(*keys).orderBy("__block")
     blocks_back = W.partitionBy(*keys).orderBy(F.desc_nulls_last("__block"))
-    summaries, out = [], src
+    summaries, out = [], src if partitions is None else src.repartition(partitions, *keys, "__block")
     for i, scan in enumerate(scans):
         v = F.col(f"__v{i}")
         if scan.kind == "next":
@@ -84,7 +89,8 @@ def running(df: DataFrame, keys: list[str], block: Column, order: list[str], sca
             value = F.coalesce(h, c)
         joined = joined.withColumn(scan.out, value)
     drop = [f"__{k}{i}" for i in range(len(scans)) for k in "vhc"]
-    return joined.drop(*drop, "__block")
+    joined = joined.drop(*drop)
+    return joined.drop("__block") if keep is None else joined.withColumnRenamed("__block", keep)
 
 
 def numbered(df: DataFrame, keys: list[str], block: Column, order: list[str], out: str = "rn") -> DataFrame:

@@ -101,19 +101,21 @@ def drop_stale_insights(insights: DataFrame, changed: DataFrame) -> DataFrame:
     return insights.join(changed.select("project_id").distinct(), "project_id", "left_anti")
 
 
-def upsert_segments(current: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_segments(current: DataFrame, incoming: DataFrame, partitions: int | None = None) -> DataFrame:
     """By id, incoming wins; projects whose batch says ``replace_existing`` are cleared first.
 
     ``incoming`` has the columns of ``current`` plus seq (arrival) and replace_existing.  Of a
-    project's batches only those from its last replacing one on count.
+    project's batches only those from its last replacing one on count. With ``partitions`` every shuffle of texts is dealt over
+    that many, so that a task's sort does not grow with the table.
     """
     cols = current.columns
+    dealt = lambda df, *keys: df if partitions is None else df.repartition(partitions, *keys)
     reset = incoming.groupBy("project_id").agg(F.max(F.when(F.col("replace_existing"), F.col("seq"))).alias("since"))
-    kept = current.join(reset.where(F.col("since").isNotNull()), "project_id", "left_anti").withColumn(
+    kept = dealt(current, "project_id").join(reset.where(F.col("since").isNotNull()), "project_id", "left_anti").withColumn(
         "seq", F.lit(-1).cast("long"))
-    new = incoming.join(reset, "project_id").where(F.col("seq") >= F.coalesce("since", F.col("seq"))).select(*cols, "seq")
+    new = dealt(incoming, "project_id").join(reset, "project_id").where(F.col("seq") >= F.coalesce("since", F.col("seq"))).select(*cols, "seq")
     both = kept.select(*cols, "seq").unionByName(new)
-    return both.groupBy("project_id", "segment_id").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("r.*")
+    return dealt(both, "project_id", "segment_id").groupBy("project_id", "segment_id").agg(F.max_by(F.struct(*cols), "seq").alias("r")).select("r.*")
 
 
 def keep_versions(versions: DataFrame, n: int = 5) -> DataFrame:

@@ -109,7 +109,7 @@ def reviewed_changes(spark, sf):
 
 @query("upsert_segments", UPSERTED)
 def upsert_segments(spark, sf):
-    return cat.upsert_segments(*reviewed_changes(spark, sf))
+    return cat.upsert_segments(*reviewed_changes(spark, sf), tables.parts(tables.read(spark, sf, "conversations")))
 
 
 @query("upsert_segments_stream", UPSERTED)

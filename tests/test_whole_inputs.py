@@ -55,3 +55,14 @@ def test_written_topic_words_are_not_found_again(spark):
         with contextlib.redirect_stdout(plan):
             form(t).explain()
         assert "regexp_extract_all" not in plan.getvalue()
+
+
+def test_words_and_upserts_are_dealt_over_parts_that_grow_with_the_text(spark, monkeypatch):
+    few = [Counter(map(str, df.collect())) for df in (tables.segments(spark, SF), tables.words(spark, SF), QUERIES["upsert_segments"](spark, SF))]
+    conv, cores = tables.read(spark, SF, "conversations"), spark.sparkContext.defaultParallelism
+    assert tables.parts(conv) is None
+    monkeypatch.setattr(tables, "PART_CHARS", conv.agg(F.sum(F.length("text"))).first()[0] // (2 * cores))
+    n = tables.parts(conv)
+    assert 2 * cores <= n <= 2 * cores + 1
+    assert tables.segments(spark, SF).rdd.getNumPartitions() == n == QUERIES["upsert_segments"](spark, SF).rdd.getNumPartitions()
+    assert few == [Counter(map(str, df.collect())) for df in (tables.segments(spark, SF), tables.words(spark, SF), QUERIES["upsert_segments"](spark, SF))]
