@@ -13,9 +13,11 @@ sets are linked when ``100 * intersection >= percent * union``. Equal sets are o
 
 Shingles that are frequent in the sample go to the end of the order (at most ``FREQUENT`` of them are named; the order only moves
 cost). A list is not expanded into all its pairs: for ``ROUNDS`` rounds every member outside the list's largest component is held against
-``MAIN_HEADS`` members of that component and ``OTHER_HEADS`` outside it, drawn by a hash of shingle, id and round, and links become components; only members of
-different components of one list are compared after that, all of them but the largest component's among themselves. So a group of copies costs about as many pairs as it has members,
-and no link between components is lost. Candidate pairs pass a count of their elements in ``BINS`` bins (the sum of the smaller counts
+``MAIN_HEADS`` members of that component and ``OTHER_HEADS`` outside it, and links become components, whole ones after every round; only members of
+different components of one list are compared after that, all of them but the largest component's among themselves. Every other head is drawn by a hash of shingle,
+id and round, the others by the earliest position of the shingle first: such a member has few rare shingles of its own, so of a group of near copies it is the one
+most others are similar to. So a group of copies costs about as many pairs as it has members, and no link between components is lost; members of
+a group that are linked to nothing are still held against the whole group. Candidate pairs pass a count of their elements in ``BINS`` bins (the sum of the smaller counts
 is at least the intersection) before their whole sets are moved and intersected.
 
 A class of equal sets is a node, named by the hash of one of its texts, so rows that share an id but not a text stay apart while
@@ -37,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from confab.llm.components import components, rough_components
+from confab.llm.components import components
 from confab.llm.texts import byte_table, flat, fresh, giving_back, mix, slices, word_hashes
 from confab.session import cut
 
@@ -267,15 +269,15 @@ def linked_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     for turn in range(ROUNDS):
         here = apart(found, "apart")
         member, outside = F.struct("node", "n", "pos", "component"), F.coalesce(F.col("component") != F.col("main"), F.lit(True))
-        drawn = [F.min_by(F.when(where, member), F.when(where, F.xxhash64("token", "node", F.lit(f"{turn} {k}")))).alias(f"h{k}")
-                 for k, where in enumerate([~outside] * (MAIN_HEADS if turn else 0) + [outside] * OTHER_HEADS)]
+        place = lambda k: F.struct(F.lit(0) if k % 2 else F.col("pos"), F.xxhash64("token", "node", F.lit(f"{turn} {k}")))
+        drawn = [F.min_by(F.when(where, member), F.when(where, place(k))).alias(f"h{k}") for k, where in enumerate([~outside] * (MAIN_HEADS if turn else 0) + [outside] * OTHER_HEADS)]
         heads = here.groupBy("token").agg(*drawn).select("token", F.explode(F.array([f"h{k}" for k in range(len(drawn))])).alias("head"))
         met = here.where(outside).join(heads, "token").where(
             (F.col("component") != F.col("head.component")) & near(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
         pairs = unseen(met.select(F.col("head.node").alias("a"), F.col("node").alias("b")), seen, "head_pairs")
         more = cut(_verified(pairs, classes, rows, words, percent), "head_links")
         seen, links = (pairs, more) if seen is None else (seen.union(pairs), links.union(more))
-        found = rough_components(links)
+        found = cut(components(links.toDF("src", "dst")), "head_components")
 
     left = apart(found, "still_apart")
     one, other = left.where("component <> main").alias("x"), left.alias("y")

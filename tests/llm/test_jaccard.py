@@ -88,3 +88,26 @@ def test_third_of_all_rows_equal(spark):
 
 def test_boundary_is_bounded_by_heads():
     assert max(jaccard.subset_count(jaccard.boundary(mean, jaccard.PERCENT), jaccard.PERCENT) for mean in (1, 7, 36, 340, 10 ** 6)) <= 14
+
+
+def test_pairs_of_a_group_of_near_copies_grow_with_its_members(spark, monkeypatch):
+    """Copies with up to two changed words: most are linked to each other, some lie just below the threshold."""
+    made, write = [], jaccard.cut
+
+    def counted(df, label):
+        out = write(df, label)
+        if label in ("head_pairs", "other_pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    rng, base = random.Random(5), [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2])):
+            copy[rng.randrange(120)] = f"x{rng.randrange(10 ** 6)}"
+        rows.append((i, " ".join(copy)))
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute.jaccard_components(rows)
+    assert sum(made) < 10 * len(rows)
