@@ -229,7 +229,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int,
     pairs = cut(_both(pairs, bins, "bins").where(close).select("a", "b"), "close_pairs")
     named = cut(bins.select("id", "node").join(_ends(pairs), "node", "left_semi"), "pair_rows")
     texts = rows.join(_small(named), ["id", "node"], "left_semi")
-    sets = cut(texts.mapInArrow(giving_back(whole), "node long, set array<long>").dropDuplicates(["node"]), "pair_sets")
+    sets = texts.mapInArrow(giving_back(whole), "node long, set array<long>").dropDuplicates(["node"])  # not written: both sides read one shuffle
     inside = F.size(F.array_intersect("x", "y"))
     return _both(pairs, sets, "set").where(_similar(inside, F.size("x"), F.size("y"), percent)).select("a", "b")
 
