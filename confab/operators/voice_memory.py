@@ -408,7 +408,7 @@ def similar_profiles(profiles: DataFrame, threshold: float | None = None, pivots
 
     def multiply(table: pa.Table) -> pa.Table:
         sides = [table.filter(pc.equal(table.column("side"), k)) for k in (0, 1)]
-        one, other = (np.array(t.column("v").to_pylist()) for t in sides)
+        one, other = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in sides)
         (x, y), (p, q) = ([t.column(c).to_numpy() for t in sides] for c in ("profile_id", "own"))
         product = np.clip(one @ other.T, -1.0, 1.0)
         limit = np.maximum(p[:, None], q[None, :]) if threshold is None else np.full(product.shape, threshold)
