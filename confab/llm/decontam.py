@@ -34,6 +34,12 @@ SHARD_WORDS = 300_000
 STEP = 16
 BROADCAST_ROWS = 1 << 20  # contaminated documents that may be named to every task
 BLOCK_BYTES = 4 << 20  # bytes of benchmark text searched in one pass
+SEARCHED = 1 << 16  # windows searched at once
+SPANS = 1 << 17  # spans merged at once
+#: A row of the index has megabytes. Parquet otherwise looks at sizes every hundred rows: pages and row groups, which writers and readers hold
+#: whole, would then have as many shards as a task has, up to a hundred.
+GROUP_BYTES = 16 << 20
+WRITER = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 INDEX = ("shard long, doc_id array<long>, text_key array<long>, starts binary, alphabet array<string>, bounds binary, bits binary, "
          "ranks binary, zeros binary, marks binary, mark_ranks binary, samples binary")
@@ -228,7 +234,7 @@ def build_index(docs: DataFrame, label: str = "fm_index") -> DataFrame:
         if ids:
             yield row(number, ids, keys, words, counts)
 
-    return cut(rows.mapInArrow(giving_back(run), INDEX), label)
+    return cut(rows.mapInArrow(giving_back(run), INDEX), label, WRITER)
 
 
 def _shard(row: dict) -> Shard:
@@ -241,21 +247,30 @@ def _shard(row: dict) -> Shard:
                  (np.frombuffer(row["marks"], np.uint64), np.frombuffer(row["mark_ranks"], np.uint32)), np.frombuffer(row["samples"], np.int32))
 
 
-def windows_of(items: list[tuple[str, str]], window: int) -> tuple[list[str], dict[int, dict[tuple, list[int]]]]:
-    """(item ids, length -> window -> numbers of the items that hold it)."""
-    found: dict[int, dict[tuple, list[int]]] = {}
-    if not items:
-        return [], found
+def windows_of(items: list[tuple[str, str]], window: int) -> tuple[pa.Array, pa.Array, np.ndarray, dict[int, tuple], np.ndarray]:
+    """(item ids, vocabulary, all words as numbers of the vocabulary, length -> windows, holders).
+
+    Windows are (place of their first word, bounds of their holders): a distinct window ``k`` stands in the items ``holders[bounds[k]:bounds[k + 1]]``.
+    """
+    ids = pa.array([i for i, _ in items], pa.string())
     words, counts = words_of(pa.array([t for _, t in items], pa.string()))
-    words, at = words.to_pylist(), 0
-    for k, n in enumerate(counts.tolist()):
-        own, at = words[at:at + n], at + n
-        size = min(window, n)
-        for i in range(n - size + 1 if n else 0):
-            holders = found.setdefault(size, {}).setdefault(tuple(own[i:i + size]), [])
-            if not holders or holders[-1] != k:
-                holders.append(k)
-    return [i for i, _ in items], found
+    coded = pc.dictionary_encode(words)
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    begins, sizes, base = np.cumsum(counts) - counts, np.minimum(counts, window), len(coded.dictionary)
+    found, holders, held = {}, [], 0
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        many = counts[own] - size + 1
+        at = np.repeat(begins[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        number = np.zeros(len(at), np.int64)
+        for k in range(size):  # equal numbers are equal words so far
+            number = np.unique(number * base + codes[at + k], return_inverse=True)[1]
+        first = np.unique(number, return_index=True)[1]
+        pairs = np.unique(number * len(counts) + np.repeat(own, many))
+        holders.append((pairs % len(counts)).astype(np.int32))
+        found[size] = at[first].astype(np.int32), held + np.searchsorted(pairs, np.arange(len(first) + 1) * len(counts))
+        held += len(pairs)
+    return ids, coded.dictionary.cast(pa.string()), codes, found, np.concatenate([np.zeros(0, np.int32), *holders])
 
 
 def blocks_of(benchmark: DataFrame, most: int = BLOCK_BYTES):
@@ -288,6 +303,39 @@ def merged(doc: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray
     return doc[head], item[head], start[head], top[last] - group[last] * far
 
 
+def occurrences(s: Shard, symbols: np.ndarray, windows: dict[int, tuple]) -> list[np.ndarray]:
+    """[document, first word, end word, bounds of the holders] of every occurrence, in the order of documents; ``symbols`` are a block's words in the shard."""
+    found = [np.zeros((5, 0), np.int64)]
+    for size, (at, bounds) in windows.items():
+        for k in range(0, len(at), SEARCHED):
+            some = symbols[at[k:k + SEARCHED, None] + np.arange(size)]
+            able = np.flatnonzero((some > 0).all(axis=1))
+            if not len(able):
+                continue
+            which, position = s.search(some[able])
+            doc, which = np.searchsorted(s.starts, position, side="right") - 1, k + able[which]
+            start = position - s.starts[doc]
+            found.append(np.stack([doc, start, start + size, bounds[which], bounds[which + 1]]))
+    hits = np.concatenate(found, axis=1)
+    return list(hits[:, np.argsort(hits[0], kind="stable")])
+
+
+def spans_of(hits: list[np.ndarray], holders: np.ndarray):
+    """Parts of the merged (doc, item, start, end); some ``SPANS`` of them and one document's are there at a time."""
+    doc, start, end, low, high = hits
+    many = high - low
+    total = np.cumsum(many)
+    rest, a = [np.zeros(0, np.int64)] * 4, 0
+    while a < len(doc):
+        b = max(a + 1, int(np.searchsorted(total, total[a] - many[a] + SPANS, side="right")))
+        n = many[a:b]
+        item = holders[np.repeat(low[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        got = merged(*(np.concatenate(x) for x in zip(rest, (np.repeat(doc[a:b], n), item, np.repeat(start[a:b], n), np.repeat(end[a:b], n)))))
+        done = got[0] < (doc[b] if b < len(doc) else doc[-1] + 1)  # later hits are in later documents
+        yield [x[done] for x in got]
+        rest, a = [x[~done] for x in got], b
+
+
 def find_spans(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(shard, doc, item_id, first_word, end_word): merged occurrences; ``doc`` numbers the documents of a shard."""
     spark, found = index.sparkSession, None
@@ -296,37 +344,17 @@ def find_spans(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, blo
         block = spark.sparkContext.broadcast(windows_of(items, window))
 
         def run(batches, block=block):
-            ids, by_length = block.value
-            ids = np.array(ids, object)
+            ids, vocabulary, codes, windows, holders = block.value
             for batch in batches:
                 for k in range(batch.num_rows):
                     row = {c: batch.column(c)[k].as_py() for c in batch.schema.names if c != "alphabet"}
                     row["alphabet"] = batch.column("alphabet")[k].values
-                    s, doc, item, start, end = _shard(row), [], [], [], []
-                    for size, windows in by_length.items():
-                        keys = list(windows)
-                        codes = pc.index_in(pa.array([w for key in keys for w in key], s.alphabet.type), s.alphabet)
-                        codes = pc.fill_null(codes, -1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(keys), size) + 1
-                        able = np.flatnonzero((codes > 0).all(axis=1))
-                        if not len(able):
-                            continue
-                        which, position = s.search(codes[able])
-                        holders = [windows[keys[i]] for i in able]
-                        many = np.array([len(h) for h in holders])
-                        flat_holders, first = np.concatenate(holders), np.cumsum(many) - many
-                        times = many[which]
-                        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                        item.append(flat_holders[np.repeat(first[which], times) + inside])
-                        position = np.repeat(position, times)
-                        d = np.searchsorted(s.starts, position, side="right") - 1
-                        doc.append(d)
-                        start.append(position - s.starts[d])
-                        end.append(position - s.starts[d] + size)
-                    if not any(map(len, doc)):  # known words do not make an occurrence
-                        continue
-                    d, i, a, b = merged(*map(np.concatenate, (doc, item, start, end)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), row["shard"]), pa.int64()), pa.array(d, pa.int64()), pa.array(ids[i], pa.string()),
-                                                      pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["shard", "doc", "item_id", "first_word", "end_word"])
+                    s = _shard(row)
+                    known = pc.fill_null(pc.index_in(vocabulary.cast(s.alphabet.type), s.alphabet), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+                    for d, i, a, b in spans_of(occurrences(s, known[codes], windows), holders):
+                        if len(d):  # known words do not make an occurrence
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), row["shard"]), pa.int64()), pa.array(d, pa.int64()), ids.take(pa.array(i)),
+                                                              pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["shard", "doc", "item_id", "first_word", "end_word"])
 
         part = index.mapInArrow(giving_back(run), schema)
         found = part if found is None else found.union(part)

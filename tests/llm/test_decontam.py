@@ -1,8 +1,10 @@
 import hashlib
+import pickle
 import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +93,47 @@ def test_known_words_without_an_occurrence(spark):
     assert got(decontam.report(docs, items)) == expected([(1, "a b c"), (2, "x")], [(1, "b a"), (2, "c c")])
     empty = np.zeros(0, np.int64)
     assert all(not len(x) for x in decontam.merged(empty, empty, empty, empty))
+
+
+def test_row_groups_and_pages_of_the_index_do_not_grow_with_a_task(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 30_000)
+    docs = spark.range(50).coalesce(1).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 29999), x -> hex(xxhash64(id, x)))) as text")
+    index = decontam.build_index(docs)
+    groups = [m.row_group(i) for f in index.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://"))] for i in range(m.num_row_groups)]
+    assert index.count() == sum(g.num_rows for g in groups) == 50
+    assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) < 24 << 20
+
+
+def test_what_a_task_receives_of_a_block_is_a_few_times_its_text():
+    rng = random.Random(3)
+    items = [(str(k), " ".join(f"word{rng.randrange(5000)}" for _ in range(300))) for k in range(300)]
+    assert len(pickle.dumps(decontam.windows_of(items, 13))) < 5 * sum(len(t) for _, t in items)
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_windows_and_spans_in_small_steps(spark, monkeypatch, most):
+    monkeypatch.setattr(decontam, "SEARCHED", most)
+    monkeypatch.setattr(decontam, "SPANS", most)
+    rng = random.Random(most)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    docs = [(k, text(rng.choice([0, 1, 3, 30]))) for k in range(40)]
+    items = [(k, text(rng.choice([0, 1, 2, 4, 9]))) for k in range(30)]
+    items += [(100 + k, t) for k, t in items]
+    index = decontam.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    place = {(r.shard, r.doc): r.doc_id for r in decontam.document_rows(index).collect()}
+    spans = {}
+    for r in decontam.find_spans(index, b, 4).collect():
+        own = spans.setdefault((place[r.shard, r.doc], r.item_id), set())
+        new = set(range(r.first_word, r.end_word))
+        assert not own & new
+        own |= new
+    want = {}
+    for doc, t in docs:
+        for item, u in items:
+            w, v = t.split(), u.split()
+            size = min(4, len(v))
+            for i in range(len(w) - size + 1 if size else 0):
+                if any(w[i:i + size] == v[k:k + size] for k in range(len(v) - size + 1)):
+                    want.setdefault((doc, str(item)), set()).update(range(i, i + size))
+    assert spans == want and want
